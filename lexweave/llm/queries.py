@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pieces
+from . import mixing, pieces, sharding
 from .common import table
 
 #: Where the public tokenizer files are; None asks the installed package.
@@ -22,14 +23,52 @@ def piece_model(path: str | None = TOKENIZER_PATH) -> bytes:
         return f.read()
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.systematic_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         source IS NULL AS none, coalesce(source, '') AS name
+  FROM documents),
+salts AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) + 1 AS salts FROM d),
+sized AS (SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY none, name),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY none, name) - 1) % 3 + 1] AS weight FROM sized),
+levels AS (
+  SELECT *, 3 * source_size / weight AS ratio,
+         (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY 3 * source_size / weight, none, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT first(level ORDER BY ratio, none, name) AS level FROM levels WHERE level * weight <= 3 * source_size),
+targets AS (SELECT none, name, source_size, least(CAST(3 * source_size AS DOUBLE), chosen.level * weight) AS target FROM levels, chosen),
+ranked AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+         CAST('0x' || substr(md5('7:' || CAST(d.none AS VARCHAR) || ':' || d.name), 1, 4) AS BIGINT) / 65536.0 AS shift,
+         row_number() OVER (PARTITION BY d.none, d.name ORDER BY d.size,
+           CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % salts.salts, d.doc_id) - 1 AS rank
+  FROM d JOIN targets t ON t.none = d.none AND t.name = d.name, salts)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size > 0 THEN least(3, floor(rate * (rank + 1) + shift) - floor(rate * rank + shift)) ELSE 0 END AS BIGINT) * size AS taken
+FROM ranked
+"""
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.encode(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_piece_codec,)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op4_systematic_mix, op7_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_systematic_mix": MIX_SQL}

@@ -77,9 +77,9 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, kept and grown as needed."""
     if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]), 1 << 16)
+        grown = max(n, 2 * len(_POWERS[0]), 1 << 16)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            full = np.full(n, base, np.uint64)
+            full = np.full(grown, base, np.uint64)
             full[0] = 1
             _POWERS[k] = np.multiply.accumulate(full)
     return _POWERS[0][:n], _POWERS[1][:n]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, pieces, sharding, topk
-from .common import table
+from . import embeddings, langid, mixing, pieces, quality, sharding, topk
+from .common import id_fold, table
 
 #: Where the public tokenizer files are; None asks the installed package.
 TOKENIZER_PATH: str | None = None
@@ -28,6 +28,12 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_fold("doc_id", 5) == 0, F.lit(False)))
+    languages, profile = langid.prototypes(docs.where("not held_out"))
+    return langid.predict(docs, languages, profile, keep=("doc_id", "held_out"))
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -106,8 +112,15 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"))
 
 
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
+    scored = quality.score(docs, quality.fit(docs.where("not held_out"), labels), keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op4_systematic_mix, op5_spherical_kmeans_dedup, op7_piece_codec, op8_ball_tree_topk)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op4_systematic_mix, op5_spherical_kmeans_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

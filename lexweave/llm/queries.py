@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, pieces, quality, sharding, topk
+from . import embeddings, langid, lattice, mixing, pieces, quality, sharding, topk
 from .common import id_fold, table
 
 #: Where the public tokenizer files are; None asks the installed package.
@@ -34,6 +34,12 @@ def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, languages, profile, keep=("doc_id", "held_out"))
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = F.coalesce(id_fold("doc_id", 10) != 0, F.lit(True))
+    rows = lattice.score(table(spark, sf_dir, "documents"), learns, piece_model())
+    return rows.withColumn("held_out", ~F.col("learns")).drop("learns")
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -120,7 +126,7 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op4_systematic_mix, op5_spherical_kmeans_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, slices, span_hashes, text_buffers, word_spans
 
 SAMPLE_ROWS = 4000
+#: Lines, with padding, that forward and backward passes hold at a time.
+PADDED_LINES = 200_000
 THRESHOLD = 0.7
 
 _UPPER = np.zeros(256, bool)
@@ -142,7 +144,7 @@ def _padded(text: np.ndarray):
     for k in np.unique(level):
         chosen = np.flatnonzero(level == k)
         longest = int(count[chosen].max())
-        step = max(1, 4_000_000 // longest)
+        step = max(1, PADDED_LINES // longest)
         for begin in range(0, len(chosen), step):
             part = chosen[begin : begin + step]
             place = np.arange(longest)[None, :]
@@ -208,8 +210,13 @@ class Chain:
 
 def train(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Chain:
     """Maximises the conditional likelihood of the documents' label sequences (Adam, weights decayed)."""
-    column = pa.array(texts, pa.large_string())
-    text, _, own = line_features(*text_buffers(column))
+    parts = [(np.zeros(0, np.int64), np.zeros((0, len(FEATURES))))]
+    done = 0
+    for part in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())}), "text"):
+        found, _, made = line_features(*text_buffers(part.column("text")))
+        parts.append((found + done, made))
+        done += part.num_rows
+    text, own = (np.concatenate(x) for x in zip(*parts))
     width = 3 * len(FEATURES) + 1
     gold = np.array(labels, np.float64)[text] if len(text) else np.zeros(0)
     share = float(np.mean(labels)) if len(labels) else 0.5

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, lattice, mixing, pieces, quality, sharding, topk
+from . import embeddings, langid, lattice, mixing, neardup, pieces, quality, sharding, topk
 from .common import id_fold, table
 
 #: Where the public tokenizer files are; None asks the installed package.
@@ -113,6 +113,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op6_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.encode(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"))
@@ -126,7 +130,7 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, lattice, mixing, neardup, pieces, quality, sharding, topk
+from . import embeddings, langid, lattice, mixing, neardup, pieces, quality, quotes, sharding, topk
 from .common import id_fold, table
 
 #: Where the public tokenizer files are; None asks the installed package.
@@ -129,9 +129,64 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+QUOTES_SQL = r"""
+WITH RECURSIVE message AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {
+           'level': length(regexp_replace(regexp_extract(x, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')),
+           'content': regexp_replace(x, '^[ \t]*(>[ \t]*)+', '')}) AS lines
+  FROM conversations),
+leveled AS (
+  SELECT conv_id, turn, lines, unnest(list_distinct(list_transform(lines, lambda x: x.level))) AS level
+  FROM message WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+single AS (
+  SELECT conv_id, turn, level, list_transform(lines, lambda x: CASE WHEN x.level = level THEN x.content ELSE '' END) AS one
+  FROM leveled),
+unit AS (
+  SELECT DISTINCT conv_id, turn, level, passage FROM (
+    SELECT conv_id, turn, level, lower(trim(regexp_replace(piece, '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS passage
+    FROM (SELECT conv_id, turn, level, unnest(list_concat(
+            regexp_split_to_array(array_to_string(one, chr(10)), '\n[ \t\r\f\x0b]*\n'), one)) AS piece FROM single))
+  WHERE passage <> ''),
+link AS (
+  SELECT q.conv_id, q.turn, q.level, q.passage, max(o.turn) AS source, length(q.passage) AS chars
+  FROM unit q JOIN unit o ON o.conv_id = q.conv_id AND o.passage = q.passage AND o.level = 0 AND o.turn < q.turn
+  WHERE q.level > 0 GROUP BY ALL),
+linked AS (SELECT conv_id, turn, count(*) AS n_linked, min(level) AS level FROM link GROUP BY ALL),
+weight AS (
+  SELECT l.conv_id, l.turn, l.source, sum(l.chars) AS chars
+  FROM link l JOIN linked k ON k.conv_id = l.conv_id AND k.turn = l.turn AND k.level = l.level GROUP BY ALL),
+parent AS (
+  SELECT conv_id, turn, source AS parent FROM weight
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, source DESC) = 1),
+walk(conv_id, turn, top) AS (
+  SELECT conv_id, turn, parent FROM parent
+  UNION ALL
+  SELECT w.conv_id, w.turn, p.parent FROM walk w JOIN parent p ON p.conv_id = w.conv_id AND p.turn = w.top),
+root AS (SELECT conv_id, turn, min(top) AS root FROM walk GROUP BY ALL),
+whole AS (
+  SELECT m.conv_id, m.turn, m.role, m.text, m.lines, p.parent, coalesce(r.root, m.turn) AS root, coalesce(k.n_linked, 0) AS n_linked
+  FROM message m LEFT JOIN parent p USING (conv_id, turn) LEFT JOIN root r USING (conv_id, turn) LEFT JOIN linked k USING (conv_id, turn))
+SELECT conv_id, turn, role,
+       CASE WHEN len(list_filter(lines, lambda x: x.level > 0)) > 0
+            THEN regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x.level = 0), lambda x: x.content), chr(10)), '^[\n\r]+|[\n\r]+$', '', 'g')
+            ELSE text END AS text,
+       CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL
+            THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY root, turn, role, text) - 1 END AS position,
+       parent AS parent_turn, root AS root_turn,
+       CAST(list_max(list_transform(lines, lambda x: x.level)) AS INTEGER) AS quote_depth,
+       len(list_filter(lines, lambda x: x.level > 0)) AS n_quoted, n_linked
+FROM whole
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality, op10_quotation_linking)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL}
+    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL, "op10_quotation_linking": QUOTES_SQL}

@@ -1 +1,71 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids: quality, language, near duplicates, source mix, encoding.
+
+Each stage takes (spark, docs, sf_dir) and reads all that its predecessor kept. All but the last return the
+columns of the documents table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.llm import langid, mixing, neardup, pieces, quality
+from lexweave.llm.common import id_fold, stored, table
+
+#: A text whose best cosine is lower is in no known language.
+LEAST_COSINE = 0.1
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """A row's text beside the whole row, so that no column name can clash with a stage's own."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier scores at least 0.7 stay."""
+    labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
+    chain = quality.fit(docs, labels)
+    return quality.score(_packed(docs), chain, keep=("row",)).where(F.col("score") >= quality.THRESHOLD).select("row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages stay."""
+    languages, profile = langid.prototypes(docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True))))
+    told = langid.predict(_packed(docs), languages, profile, keep=("row",))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return neardup.keep_one(docs, threshold=0.8)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row with digests of the ids and of the decoded text."""
+    return pieces.encode(docs, pieces.piece_model(), outputs=("ids", "n_tokens", "n_source_bytes", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", source_mix),
+    ("SentencePiece encoding and decoding", encoding),
+]
+
+#: Learned models and signatures are not SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs

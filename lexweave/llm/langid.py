@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -147,7 +148,7 @@ def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str
     dimensions = profile.shape[1]
     norms = np.linalg.norm(profile, axis=1, keepdims=True)
     directions = (profile / np.where(norms > 0, norms, 1)).astype(np.float32)
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def rows(batches):
         for batch in batches:
@@ -166,4 +167,4 @@ def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str
                 kept = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, f"{fields}, lang_pred string, score double")
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, schema)

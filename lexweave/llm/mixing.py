@@ -89,3 +89,16 @@ def systematic_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     crossed = F.floor(F.col("rate") * (F.col("rank") + 1) + F.col("offset")) - F.floor(F.col("rate") * F.col("rank") + F.col("offset"))
     copies = F.when(F.col("size") > 0, F.least(crossed, F.lit(cap))).otherwise(F.lit(0)).cast("bigint")
     return ranked.select(F.col("id").alias(id_column), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents of the mix, each as often as it is taken. Rows of a repeated id are told apart by order."""
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    copies = systematic_mix(df, id_column, text, source, **options).select(F.col(id_column).alias("id"), "size", "copies").select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "copies")
+    nth = lambda order: F.row_number().over(Window.partitionBy("key", "none").orderBy(order))
+    copies = copies.select("key", "none", nth("size").alias("nth"), "copies")
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
+    rows = df.select(F.col(id_column).alias("id"), words.alias("size"), F.struct("*").alias("row"))
+    rows = rows.select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "row").select("key", "none", nth("size").alias("nth"), "row")
+    taken = rows.join(copies.where("copies > 0"), ["key", "none", "nth"])
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")

@@ -200,8 +200,9 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
 
 def keep_one(df: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their near duplicates: of each class the one with the least id, once."""
-    classes = stored(near_duplicate_classes(df, threshold, id_column, text).where(F.col(id_column).isNotNull()), "classes")
-    counted = classes.groupBy(id_column).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("_times")).where("kept").drop("kept")
-    kept = df.join(counted, id_column)
-    once = kept.where("_times = 1").unionByName(kept.where("_times > 1").dropDuplicates([id_column]))
-    return once.select(*df.columns).unionByName(df.where(F.col(id_column).isNull()))
+    classes = stored(near_duplicate_classes(df, threshold, id_column, text).select(F.col(id_column).alias("id"), "kept").where("id is not null"), "classes")
+    counted = classes.groupBy("id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("times")).where("kept").drop("kept")
+    packed = df.select(F.col(id_column).cast("bigint").alias("id"), F.struct("*").alias("row"))
+    kept = packed.join(counted, "id")
+    once = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["id"]))
+    return once.select("row.*").unionByName(df.where(F.col(id_column).isNull()))

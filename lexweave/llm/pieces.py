@@ -59,6 +59,20 @@ def _fields(message: bytes):
             raise ValueError(f"wire type {kind} in a model file")
 
 
+#: Where the model file is; None asks the installed package of public tokenizers.
+MODEL_PATH: str | None = None
+
+
+def piece_model(path: str | None = MODEL_PATH) -> bytes:
+    """The bytes of a model file; the driver reads them and sends them along, so executors need no file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class CharacterMap:
     """The compiled map: a double-array trie over UTF-8 bytes and a pool of zero-ended replacements."""
 

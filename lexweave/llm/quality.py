@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, slices, span_hashes, text_buffers, word_spans
 
@@ -270,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
 
 def score(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds the score of every whole text to the kept columns."""
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 
     def rows(batches):
         for batch in batches:
@@ -278,4 +279,4 @@ def score(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...]
                 made = chain.scores(*text_buffers(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(made)], names=[*keep, "score"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, f"{fields}, score double")
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, schema)

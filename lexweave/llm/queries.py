@@ -4,24 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, langid, lattice, mixing, neardup, pieces, quality, quotes, sharding, topk
 from .common import id_fold, table
-
-#: Where the public tokenizer files are; None asks the installed package.
-TOKENIZER_PATH: str | None = None
-
-
-def piece_model(path: str | None = TOKENIZER_PATH) -> bytes:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("piece_bpe_32k.model")
-    with open(path, "rb") as f:
-        return f.read()
-
+from .pieces import piece_model
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -185,8 +174,9 @@ FROM whole
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality, op10_quotation_linking)}
+    named = {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality, op10_quotation_linking)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL, "op10_quotation_linking": QUOTES_SQL}
+    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL, "op10_quotation_linking": QUOTES_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

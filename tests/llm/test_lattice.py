@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.llm import lattice
-from lexweave.llm.queries import op3_subword_lattice, piece_model
+from lexweave.llm.pieces import piece_model
+from lexweave.llm.queries import op3_subword_lattice
 
 
 @pytest.fixture(scope="module")

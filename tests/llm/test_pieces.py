@@ -5,7 +5,8 @@ import pytest
 import sentencepiece
 
 from lexweave.llm import pieces
-from lexweave.llm.queries import op7_piece_codec, piece_model
+from lexweave.llm.pieces import piece_model
+from lexweave.llm.queries import op7_piece_codec
 
 TEXTS = ["", " ", "a", "  two  spaces ", "tab\tand\nline", "▁ literal", "héllo wörld", "日本語 🙂", "x" * 5000, "a b " * 3000, None, "null\0byte", "a", "a"]
 

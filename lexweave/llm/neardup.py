@@ -186,7 +186,8 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
     pairs = stored(crowded.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     source = df.select(F.col(id_column).cast("bigint").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = stored(source.join(nodes, "node"), "texts")
+    # The same plan at every size: what the broadcast of a short list saves would be gone where the list is long.
+    texts = stored(source.join(nodes.hint("merge"), "node"), "texts")
     near = stored(verify(pairs, texts, threshold), "near")
     joined = stored(connected_components(near), "joined")
     more = stored(family_links(crowded.select("bucket", "rep"), joined, texts, threshold, block_rows), "more")

@@ -95,13 +95,16 @@ def region_contexts(assigned: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def nearest_label(labels: DataFrame, bodies: DataFrame) -> DataFrame:
-    """For each note label the body line beside it: half of the label's height shared, least gap across, then down."""
-    b = bodies.select("doc_id", "page_index", F.col("line_id").alias("body_id"), F.col("bbox").alias("body_box"))
+    """For each note label the line beside it: not left of it, sharing half of the lower height; least gap, then drop."""
+    from lexweave.functions.shapes import is_shape
+
+    b = bodies.where(~is_shape("note_label_alone", F.col("text"))).select("doc_id", "page_index", F.col("line_id").alias("body_id"), F.col("bbox").alias("body_box"))
     met = labels.join(b, ["doc_id", "page_index"]).where(F.col("line_id") != F.col("body_id"))
     shared = F.least(F.col("bbox.y1"), F.col("body_box.y1")) - F.greatest(F.col("bbox.y0"), F.col("body_box.y0"))
-    gap = F.col("body_box.x0") - F.col("bbox.x1")
+    lower = F.least(G.height(F.col("bbox")), G.height(F.col("body_box")))
+    gap = F.greatest(F.col("body_box.x0") - F.col("bbox.x1"), F.lit(0.0))
     down = F.abs(F.col("body_box.y0") - F.col("bbox.y0"))
-    near = met.where((shared >= 0.5 * G.height(F.col("bbox"))) & (gap >= 0))
+    near = met.where((F.col("body_box.x0") >= F.col("bbox.x0")) & (shared > 0) & (lower > 0) & (shared / lower >= 0.5))
     return near.groupBy("doc_id", "page_index", "line_id").agg(F.min_by("body_id", F.struct(gap, down, F.col("body_id"))).alias("body_id"))
 
 

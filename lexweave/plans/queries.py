@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import eids, geometry, locators, patterns, shapes, stats
 from lexweave.functions import text as T
-from lexweave.operators import citations, corpus, furniture, ladder, layout, lookup, notes, regions, statute
+from lexweave.operators import citations, corpus, furniture, ladder, layout, lookup, marks, notes, regions, statute
 from lexweave.operators import export as X
 from lexweave.operators import lines as L
 from lexweave.operators.amendments import amendment
@@ -447,7 +447,7 @@ def hyphen_faults(spark, sf_dir):
     return regions.hyphen_faults(lines(spark, sf_dir)).select("doc_id", "line_id", "code")
 
 
-@register("nearest_note_bodies", LINES.over(", l AS (SELECT * FROM t WHERE reading_order % 2 = 0), m AS (SELECT l.doc_id, l.page_index, l.line_id, b.line_id AS body_id, least(l.y1, b.y1 + 0) - greatest(l.y0, b.y0) AS shared, b.x0 - l.x1 AS gap, abs(b.y0 - l.y0) AS down, l.y1 - l.y0 AS h FROM l JOIN t b ON b.doc_id = l.doc_id AND b.page_index = l.page_index AND b.line_id <> l.line_id) SELECT doc_id, page_index, line_id, body_id FROM m WHERE shared >= 0.5 * h AND gap >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, line_id ORDER BY gap, down, body_id) = 1").replace("b.y0", "(b.y0 - (b.k % 3) * 78)").replace("b.y1 + 0", "(b.y1 - (b.k % 3) * 78)"))
+@register("nearest_note_bodies", LINES.over(", l AS (SELECT * FROM t WHERE reading_order % 2 = 0), b AS (SELECT doc_id, page_index, line_id AS body_id, x0 AS bx, y0 - (k % 3) * 78 AS by0, y1 - (k % 3) * 78 AS by1 FROM t), m AS (SELECT l.doc_id, l.page_index, line_id, body_id, least(y1, by1) - greatest(y0, by0) AS shared, least(y1 - y0, by1 - by0) AS low, greatest(bx - x1, 0) AS gap, abs(by0 - y0) AS down FROM l JOIN b ON b.doc_id = l.doc_id AND b.page_index = l.page_index AND body_id <> line_id WHERE bx >= x0) SELECT doc_id, page_index, line_id, body_id FROM m WHERE shared > 0 AND low > 0 AND shared / low >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, line_id ORDER BY gap, down, body_id) = 1"))
 def nearest_note_bodies(spark, sf_dir):
     rows = lines(spark, sf_dir)
     up = (F.col("k") % 3) * 78
@@ -781,3 +781,74 @@ def adapter_text_units(spark, sf_dir):
     marked = lines(spark, sf_dir).withColumn("text", F.concat("text", F.lit("⟦FN:"), "line_id", F.lit("⟧")))
     foot = LINES.frame(spark, sf_dir).where("reading_order = 8").select("doc_id", F.col("page_number").alias("number"), "text", F.array("page_number").alias("pages"))
     return X.text_units(regions.paragraphs(marked), foot)
+
+
+# --- Marks and note regions --------------------------------------------------------------------------------
+
+
+def _spanned(spark, sf_dir):
+    """Lines with one span each; every third line of a page is a small mark beside the line before it."""
+    rows = lines(spark, sf_dir)
+    mark = F.col("reading_order") % 3 == 2
+    box = F.struct(F.when(mark, F.col("x1") + 1).otherwise(F.col("x0")).alias("x0"), F.when(mark, F.col("y0") - 78).otherwise(F.col("y0")).alias("y0"), F.when(mark, F.col("x1") + 4).otherwise(F.col("x1")).alias("x1"), F.when(mark, F.col("y0") - 73).otherwise(F.col("y1")).alias("y1"))
+    text = F.when(mark, F.col("n").cast("string")).otherwise(F.col("text"))
+    rows = rows.withColumns({"bbox": box, "text": text, "region_type": F.lit("body"), "source_index": F.col("reading_order"), "block_index": F.lit(0)})
+    span = F.struct("text", "bbox", F.when(mark, 5.0).otherwise(10.0).alias("size"), mark.alias("superscript"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    return rows.withColumn("spans", F.array(span))
+
+
+@register("detached_marks")
+def detached_marks(spark, sf_dir):
+    return marks.detached_references(_spanned(spark, sf_dir), pages(spark, sf_dir).withColumn("separator_y", F.lit(None).cast("double")))
+
+
+@register("spliced_marks")
+def spliced_marks(spark, sf_dir):
+    return marks.spliced_markers(_spanned(spark, sf_dir))
+
+
+@register("note_region_modes", LINES.over("SELECT doc_id, page_index, CASE WHEN page_index > 0 THEN 'footnote_continuation' ELSE '' END AS mode FROM t WHERE reading_order = 8"))
+def note_region_modes(spark, sf_dir):
+    return marks.note_modes(lines(spark, sf_dir).withColumn("note_region_mode", F.lit(""))).select("doc_id", "page_index", "mode")
+
+
+@register("prior_references", LINES.over(", m AS (SELECT doc_id, page_index, k % 4 AS label, min(y0) AS top FROM t GROUP BY ALL) SELECT t.doc_id, t.page_index, line_id, CAST(n AS VARCHAR) AS label FROM t JOIN m ON m.doc_id = t.doc_id AND m.page_index = t.page_index AND m.label = n WHERE top < y0"))
+def prior_references(spark, sf_dir):
+    rows = LINES.frame(spark, sf_dir)
+    labels = rows.select("doc_id", "page_index", "line_id", F.col("n").cast("string").alias("label"), F.col("y0").alias("y"))
+    return marks.prior_references(labels, rows.select("doc_id", "page_index", (F.col("k") % 4).cast("string").alias("note_id"), F.col("y0").alias("y")))
+
+
+@register("note_separators")
+def note_separators(spark, sf_dir):
+    rows = _spanned(spark, sf_dir)
+    p = pages(spark, sf_dir)
+    rules = p.select("doc_id", "page_index", F.lit(50.0).alias("x0"), F.lit(300.0).alias("x1"), F.explode(F.array(F.lit(300.0), F.lit(627.0))).alias("y"))
+    return marks.separators(rows, p, rules)
+
+
+@register("drop_caps")
+def drop_caps(spark, sf_dir):
+    return marks.drop_caps(_spanned(spark, sf_dir))
+
+
+@register("running_heads")
+def running_heads(spark, sf_dir):
+    return marks.running_heads(_spanned(spark, sf_dir).withColumn("region_type", F.when(F.col("reading_order") == 0, "header").otherwise("body")), pages(spark, sf_dir))
+
+
+@register("note_line_order")
+def note_line_order(spark, sf_dir):
+    rows = _spanned(spark, sf_dir)
+    return marks.note_order(rows, layout.column_models(rows, pages(spark, sf_dir)))
+
+
+@register("word_boxes", LINES.over(", w AS (SELECT doc_id, page_index, line_id, x0, x1, length(text) AS chars, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM t), s AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w) SELECT doc_id, line_id, CAST(pos - 1 AS INTEGER) AS pos, word, round(x0 + start * ((x1 - x0) / chars), 6) AS x0 FROM s WHERE word <> ''"))
+def word_boxes(spark, sf_dir):
+    return marks.word_boxes(lines(spark, sf_dir)).select("doc_id", "line_id", "pos", "word", F.round("bbox.x0", 6).alias("x0"))
+
+
+@register("documents_with_regions", LINES.over("SELECT doc_id FROM t GROUP BY doc_id HAVING bool_and(k <> 13)"))
+def documents_with_regions(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    return marks.known_regions(rows.withColumn("region_type", F.when(F.col("k") == 13, "unknown").otherwise(F.col("region_type"))))

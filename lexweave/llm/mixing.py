@@ -92,13 +92,15 @@ def systematic_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def mixed_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Rows of a repeated id are told apart by order."""
+    """The documents of the mix, each as often as it is taken. Rows of a repeated id are told apart by order.
+
+    Texts are shuffled once, by the id; the few numbers of an id's rows come to them as a list.
+    """
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    copies = systematic_mix(df, id_column, text, source, **options).select(F.col(id_column).alias("id"), "size", "copies").select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "copies")
-    nth = lambda order: F.row_number().over(Window.partitionBy("key", "none").orderBy(order))
-    copies = copies.select("key", "none", nth("size").alias("nth"), "copies")
+    copies = systematic_mix(df, id_column, text, source, **options).select(F.col(id_column).alias("id"), "size", "copies")
+    listed = copies.groupBy(key.alias("key"), F.col("id").isNull().alias("none")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("of_rows"), F.sum("copies").alias("whole")).where("whole > 0")
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
-    rows = df.select(F.col(id_column).alias("id"), words.alias("size"), F.struct("*").alias("row"))
-    rows = rows.select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "row").select("key", "none", nth("size").alias("nth"), "row")
-    taken = rows.join(copies.where("copies > 0"), ["key", "none", "nth"])
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")
+    rows = df.select(F.col(id_column).alias("id"), words.alias("size"), F.struct("*").alias("row")).select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "row")
+    nth = F.row_number().over(Window.partitionBy("key", "none").orderBy("size"))
+    met = rows.join(listed, ["key", "none"]).select("row", F.get("of_rows", nth - 1)["copies"].alias("copies")).where("copies > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")

@@ -17,21 +17,21 @@ LEAST_COSINE = 0.1
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """A row's text beside the whole row, so that no column name can clash with a stage's own."""
-    return docs.select(F.struct("*").alias("row"), "text")
+    """The whole row as one column, so that no column name can clash with a stage's own."""
+    return docs.select(F.struct("*").alias("row"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores at least 0.7 stay."""
     labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
     chain = quality.fit(docs, labels)
-    return quality.score(_packed(docs), chain, keep=("row",)).where(F.col("score") >= quality.THRESHOLD).select("row.*")
+    return quality.score(_packed(docs), chain, text="row.text", keep=("row",)).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
     languages, profile = langid.prototypes(docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True))))
-    told = langid.predict(_packed(docs), languages, profile, keep=("row",))
+    told = langid.predict(_packed(docs), languages, profile, text="row.text", keep=("row",))
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
 
 

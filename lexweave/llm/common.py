@@ -53,11 +53,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def column_of(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column by its dotted path."""
+    if path in batch.schema.names:
+        return batch.column(path)
+    outer, inner = path.split(".", 1)
+    return batch.column(outer).field(inner)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
     """Cuts a batch into runs of whole rows with about limit bytes of text, a longer row by itself."""
     if batch.num_rows == 0:
         return
-    _, at = text_buffers(batch.column(text))
+    _, at = text_buffers(column_of(batch, text))
     begin = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, side="right")) - 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import column_of, slices
 
 DIMENSIONS = 512
 GRAM = 3
@@ -153,7 +153,7 @@ def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str
     def rows(batches):
         for batch in batches:
             for part in slices(batch, text):
-                texts = part.column(text).fill_null("").to_pylist()
+                texts = column_of(part, text).fill_null("").to_pylist()
                 vectors = bundles(texts, dimensions)
                 sizes = np.linalg.norm(vectors, axis=1)
                 known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(languages)
@@ -167,4 +167,4 @@ def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str
                 kept = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, schema)
+    return df.select(*dict.fromkeys([*keep, text.split(".")[0]])).mapInArrow(rows, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, slices, span_hashes, text_buffers, word_spans
+from .common import SPACE, column_of, slices, span_hashes, text_buffers, word_spans
 
 SAMPLE_ROWS = 4000
 #: Lines, with padding, that forward and backward passes hold at a time.
@@ -276,7 +276,7 @@ def score(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...]
     def rows(batches):
         for batch in batches:
             for part in slices(batch, text):
-                made = chain.scores(*text_buffers(part.column(text)))
+                made = chain.scores(*text_buffers(column_of(part, text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(made)], names=[*keep, "score"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(rows, schema)
+    return df.select(*dict.fromkeys([*keep, text.split(".")[0]])).mapInArrow(rows, schema)

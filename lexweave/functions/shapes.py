@@ -104,18 +104,52 @@ def upper_share(text: Column) -> Column:
 
 
 def bracket_excess(text: Column) -> Column:
-    """Opening brackets without a closing one, by a stack over the characters."""
+    """Opening brackets and quotes without a closing one, by a stack over the characters."""
+    pairs = {"(": ")", "[": "]", "{": "}", "“": "”"}
+
     def step(stack: Column, c: Column) -> Column:
         top = F.substring(stack, F.length(stack), F.lit(1))
-        closes = (c.isin(")") & (top == "(")) | (c.isin("]") & (top == "["))
-        return F.when(c.isin("(", "["), F.concat(stack, c)).when(closes, F.substring(stack, F.lit(1), F.length(stack) - 1)).otherwise(stack)
+        closes = F.lit(False)
+        for opening, closing in pairs.items():
+            closes = closes | ((c == closing) & (top == opening))
+        return F.when(c.isin(*pairs), F.concat(stack, c)).when(closes, F.substring(stack, F.lit(1), F.length(stack) - 1)).otherwise(stack)
 
     return F.length(F.aggregate(F.split(text, ""), F.lit(""), step))
 
 
-def prose_like(text: Column, words: int = 5) -> Column:
-    """Enough lower-case words of two letters or more."""
-    return F.regexp_count(text, F.lit("[a-z]{2,}")) >= words
+def closes_before_opening(text: Column) -> Column:
+    """Of the brackets and quotes among the first 48 characters the first one closes."""
+    return F.substring(text, 1, 48).rlike(r"^[^(\[{“)\]}”]*[)\]}”]")
+
+
+def prose_like(text: Column) -> Column:
+    """Two lower-case words and a stop, or enough letters with a digit set against one."""
+    sentence = (F.regexp_count(text, F.lit("[a-z]{2,}")) >= 2) & text.rlike("[.,;]")
+    return sentence | ((F.length(letters(text)) >= 8) & text.rlike("[a-z][0-9]"))
+
+
+def heading_shaped(text: Column) -> Column:
+    """The letters among the first 40 characters are four or more capitals."""
+    own = letters(F.substring(F.trim(text), 1, 40))
+    return (F.length(own) >= 4) & (own == F.upper(own)) & own.rlike(r"^\p{Lu}+$")
+
+
+def zone(region_type: Column) -> Column:
+    """What a region's name says a line is: note, number, header, visual, title or body."""
+    name = F.lower(region_type)
+    has = lambda *words: name.rlike("|".join(words))
+    return (
+        F.when(has("footnote", "endnote", "reference_content", "note"), "note")
+        .when(has("page_number", "number", "folio"), "number")
+        .when(has("header", "running"), "header")
+        .when(has("image", "figure", "chart", "graphic", "formula", "separator", "table", "photo"), "visual")
+        .when(has("title", "heading", "byline", "abstract", "toc"), "title")
+        .otherwise("body")
+    )
+
+
+def edge_folio(region_type: Column, text: Column) -> Column:
+    return region_type.isin("header", "footer", "page_number", "folio") & text.rlike(r"^\s*[-–—]*\s*[0-9]{1,4}\s*[-–—]*\s*$")
 
 
 def repeat_text_key(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import eids, geometry, locators, patterns, shapes, stats
 from lexweave.functions import text as T
-from lexweave.operators import citations, corpus, furniture, ladder, layout, lookup, marks, notes, regions, statute
+from lexweave.operators import candidates, citations, corpus, furniture, ladder, layout, lookup, marks, notes, regions, statute
 from lexweave.operators import export as X
 from lexweave.operators import lines as L
 from lexweave.operators.amendments import amendment
@@ -852,3 +852,68 @@ def word_boxes(spark, sf_dir):
 def documents_with_regions(spark, sf_dir):
     rows = lines(spark, sf_dir)
     return marks.known_regions(rows.withColumn("region_type", F.when(F.col("k") == 13, "unknown").otherwise(F.col("region_type"))))
+
+
+# --- Candidates and decisions --------------------------------------------------------------------------------
+
+
+@register("note_reference_candidates")
+def note_reference_candidates(spark, sf_dir):
+    return candidates.reference_rows(lines(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" held."), F.col("n").cast("string"), F.lit(" so"))))
+
+
+@register("note_label_candidates", LINES.over("SELECT doc_id, page_index, line_id, CAST(n AS VARCHAR) AS label, n AS value, 'plain' AS form FROM t WHERE reading_order = 8"))
+def note_label_candidates(spark, sf_dir):
+    return candidates.label_rows(lines(spark, sf_dir).where("region_type = 'footnote'")).select("doc_id", "page_index", "line_id", "label", "value", "form")
+
+
+@register("note_bodies", LINES.over(", x AS (SELECT doc_id, line_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS note_no FROM t WHERE reading_order = 8) SELECT doc_id, note_no, text AS body FROM x"))
+def note_bodies(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    return candidates.note_bodies(rows, candidates.label_rows(rows.where("region_type = 'footnote'"))).select("doc_id", "note_no", "body")
+
+
+@register("detached_note_pairs", LINES.over(", p AS (SELECT doc_id, line_id AS pair_id, CAST(n AS VARCHAR) AS note_id, page_index AS lp, page_index * 10 + 8 AS place FROM t WHERE reading_order = 8), d AS (SELECT doc_id, line_id AS mark_id, CAST(n AS VARCHAR) AS note_id, page_index AS mp, page_index * 10 + 4 AS place FROM t WHERE reading_order = 4) SELECT d.doc_id, mark_id, pair_id FROM d JOIN p ON p.doc_id = d.doc_id AND p.note_id = d.note_id AND abs(lp - mp) <= 1 QUALIFY row_number() OVER (PARTITION BY d.doc_id, mark_id ORDER BY abs(lp - mp), p.place < d.place, abs(p.place - d.place), pair_id) = 1"))
+def detached_note_pairs(spark, sf_dir):
+    rows = LINES.frame(spark, sf_dir).withColumn("place", F.col("page_index") * 10 + F.col("reading_order")).withColumn("note_id", F.col("n").cast("string"))
+    pairs = rows.where("reading_order = 8").select("doc_id", F.col("line_id").alias("pair_id"), "note_id", "page_index", "place", F.lit(False).alias("endnote"))
+    return candidates.merge_detached(pairs, rows.where("reading_order = 4").select("doc_id", F.col("line_id").alias("mark_id"), "note_id", "page_index", "place"))
+
+
+@register("line_zones", LINES.over("SELECT doc_id, CASE region_type WHEN 'footnote' THEN 'note' WHEN 'header' THEN 'header' WHEN 'heading' THEN 'title' ELSE 'body' END AS zone, count(*) AS n FROM t GROUP BY ALL"))
+def line_zones(spark, sf_dir):
+    return LINES.frame(spark, sf_dir).groupBy("doc_id", shapes.zone(F.col("region_type")).alias("zone")).agg(F.count("*").alias("n"))
+
+
+@register("edge_folios", LINES.over("SELECT doc_id, page_index, line_id FROM t WHERE reading_order = 9"))
+def edge_folios(spark, sf_dir):
+    return LINES.frame(spark, sf_dir).where(shapes.edge_folio(F.col("region_type"), F.col("text"))).select("doc_id", "page_index", "line_id")
+
+
+@register("flow_edges")
+def flow_edges(spark, sf_dir):
+    return candidates.flow_edges(lines(spark, sf_dir))
+
+
+@register("heading_candidates", LINES.over("SELECT doc_id, page_index, line_id, substr(text, 1, 1) AS value, 'GENERAL PART' AS title FROM t WHERE reading_order = 3"))
+def heading_candidates(spark, sf_dir):
+    return candidates.heading_candidates(lines(spark, sf_dir)).where("plausible").select("doc_id", "page_index", "line_id", "value", "title")
+
+
+@register("contents_rows", LINES.over("SELECT doc_id, page_index, line_id, CAST(8 AS BIGINT) AS entries FROM t WHERE reading_order BETWEEN 1 AND 8 AND page_index IN (SELECT page_index FROM t u WHERE u.doc_id = t.doc_id GROUP BY page_index HAVING count(*) >= 9)"))
+def contents_rows(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    whole = rows.groupBy("doc_id", "page_index").agg(F.count("*").alias("n")).where("n >= 9").drop("n")
+    listed = rows.join(whole, ["doc_id", "page_index"]).withColumn("text", F.concat(F.lit("Part ..... "), F.col("n").cast("string")))
+    return candidates.contents_rows(listed).select("doc_id", "page_index", "line_id", "entries")
+
+
+@register("sandwiched_regions")
+def sandwiched_regions(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_id").alias("region_id"), F.when(F.col("k") % 2 == 0, "footnote").otherwise("text").alias("label"), "bbox", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    return candidates.sandwiched(rows)
+
+
+@register("order_decisions")
+def order_decisions(spark, sf_dir):
+    return candidates.order_decisions(lines(spark, sf_dir), pages(spark, sf_dir))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from lexweave.operators import export, lines, statute
 from lexweave.session import local_session
+from lexweave.shipping import ship
 from lexweave.sources import files, pdf
 
 
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-o", "--output")
     asked = parser.parse_args(argv)
     spark = local_session()
+    ship(spark)
     read = pdf.read_pdfs(files.accepted(files.read_binary(spark, asked.path))).cache()
     fault = read.select("fault").first()
     if fault is None or fault.fault:

@@ -6,11 +6,13 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from lexweave.session import local_session  # noqa: E402
+from lexweave.shipping import ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import langid, mixing, neardup, pieces, quality
 from lexweave.llm.common import id_fold, stored, table
+from lexweave.shipping import ship
 
-#: A text whose best cosine is lower is in no known language.
-LEAST_COSINE = 0.1
+#: A text of this many characters whose best cosine is lower is in no known language; a shorter one may just be short.
+LEAST_COSINE, TELLING_CHARS = 0.15, 200
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -23,6 +24,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores at least 0.7 stay."""
+    ship(spark)
     labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
     chain = quality.fit(docs, labels)
     return quality.score(_packed(docs), chain, text="row.text", keep=("row",)).where(F.col("score") >= quality.THRESHOLD).select("row.*")
@@ -30,23 +32,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
+    ship(spark)
     languages, profile = langid.prototypes(docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True))))
     told = langid.predict(_packed(docs), languages, profile, text="row.text", keep=("row",))
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    foreign = (F.col("score") < LEAST_COSINE) & (F.length("row.text") >= TELLING_CHARS)
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & ~foreign).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    ship(spark)
     return neardup.keep_one(docs, threshold=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with digests of the ids and of the decoded text."""
+    ship(spark)
     return pieces.encode(docs, pieces.piece_model(), outputs=("ids", "n_tokens", "n_source_bytes", "ids_sha256", "decoded_sha256"))
 
 

@@ -13,6 +13,8 @@ from lexweave.functions import patterns as P
 
 _ORDINALS = P.ordinal_words()
 _PASSES = {name: P.compiled(pattern, True) for name, pattern in (("proviso", P.CITE_PROVISO), ("explanation", P.CITE_EXPLANATION), ("reverse", P.CITE_REVERSE), ("rule", P.CITE_RULE), ("forward", P.CITE_FORWARD))}
+#: A form cannot occur in a text without its word.
+_WORDS = {"proviso": "proviso", "explanation": "explanation", "reverse": "section", "rule": "rule", "forward": "section"}
 _ACT = P.compiled(P.EXTERNAL_ACT, True)
 _CONTINUED = P.compiled(P.CITE_CONTINUED)
 _CLAUSE_START = re.compile(r",|[.;](?=\s|$)")
@@ -79,9 +81,12 @@ def find_citations(text: str | None) -> list[dict]:
     earlier form has. Spans are in characters.
     """
     text = text or ""
+    folded = text.casefold()
     taken: list[tuple[int, int]] = []
     out = []
     for kind, pattern in _PASSES.items():
+        if _WORDS[kind] not in folded:
+            continue
         for m in pattern.finditer(text):
             start, end = m.span()
             if kind != "proviso" and any(start < b and a < end for a, b in taken):

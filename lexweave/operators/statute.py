@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import patterns as P
 from lexweave.operators.amendments import amendment
+from lexweave.operators.citations import find_citations
 
 _SECTION, _SUBSECTION, _CLAUSE, _SUBCLAUSE, _PROVISO, _EXPLANATION, _NOTE, _TAIL, _DIVISION, _TITLE = map(
     re.compile, (P.SECTION, P.SUBSECTION, P.CLAUSE, P.SUBCLAUSE, P.PROVISO, P.EXPLANATION, P.NOTE_LINE, P.NOTE_TAIL, P.DIVISION, P.DIVISION_TITLE)
@@ -23,6 +24,7 @@ _SECTION, _SUBSECTION, _CLAUSE, _SUBCLAUSE, _PROVISO, _EXPLANATION, _NOTE, _TAIL
 PROVISION_FIELDS = "eid string, kind string, num string, heading string, text string, parent_eid string, holder int, seq int, depth int, page_numbers array<int>"
 NOTE_FIELDS = "number string, raw_text string, amend_text string, page_number int, associated_eid string"
 DIAGNOSTIC_FIELDS = "code string, message string"
+CITATION_FIELDS = "parent_eid string, cite_seq int, raw_text string, span_start int, span_end int, target_eid string, relation string, external boolean, target_type string, resolved boolean"
 
 
 def section_start(text: str) -> tuple[str, str] | None:
@@ -83,7 +85,7 @@ class Reader:
         self.preamble: list[tuple[str, int]] = []
         self.open: dict[str, int | None] = {"section": None, "subsection": None, "clause": None}
         self.roots: list[int] = []  # roots already closed, in the order they closed
-        self.gone: set[int] = set()
+        self.roots_by_eid: dict[str, list[int]] = {}
         self.seen: dict[str, int] = {}
         self.counts: dict[tuple[str, str], int] = {}
         self.ordinal = 0
@@ -115,10 +117,14 @@ class Reader:
     def eid_of(self, row: int | None) -> str:
         return "sec_unknown" if row is None else self.rows[row]["eid"]
 
+    def add_root(self, row: int) -> None:
+        self.roots.append(row)
+        self.roots_by_eid.setdefault(self.rows[row]["eid"], []).append(row)
+
     def rooted(self, row: int) -> None:
         """A row without an open container becomes a root; its eId still says that none was open."""
         self.rows[row]["parent_eid"] = None
-        self.roots.append(row)
+        self.add_root(row)
 
     def close(self, level: str) -> None:
         """Closes the open container of a level with all that is open inside it."""
@@ -137,11 +143,11 @@ class Reader:
 
     def close_section(self, row: int) -> None:
         if self.rows[row]["kind"] == "schedule_item":
-            schedule = next((r for r in self.roots if self.rows[r]["eid"] == self.rows[row]["parent_eid"]), None)
-            if schedule is not None:
-                self.rows[row]["holder"] = schedule
+            schedules = self.roots_by_eid.get(self.rows[row]["parent_eid"])
+            if schedules:
+                self.rows[row]["holder"] = schedules[0]
                 return
-        self.roots.append(row)
+        self.add_root(row)
 
     def attach(self, row: int, *levels: str) -> None:
         holder = self.inner(*levels)
@@ -184,14 +190,14 @@ class Reader:
             return True
         self.in_schedule = False
         eid = f"sec_{number.lower()}"
-        held = [r for r in self.roots if self.rows[r]["eid"] == eid]
+        held = list(self.roots_by_eid.get(eid, ()))
         current = self.open["section"]
         if current is not None and self.rows[current]["eid"] == eid:
             held.append(current)
         stub = next((r for r in held if self.is_stub(r)), None)
         if stub is not None and stub != current:
             self.roots.remove(stub)
-            self.gone.add(stub)
+            self.roots_by_eid[eid].remove(stub)
             self.warn("empty_section_stub_replaced", f"section {number} replaces an empty stub minted from an orphan line")
         elif stub is None and held:
             self.warn("duplicate_section_number", f"section {number} repeats an existing eId; kept as continuation text")
@@ -275,12 +281,12 @@ class Reader:
         upper = text.lstrip().upper()
         rest = next((upper[len(w) :].strip() for w in ("SCHEDULES", "SCHEDULE") if upper.startswith(w)), "")
         if rest:
-            self.roots.append(self.add("schedule", f"schedule_{self.schedules}", number, "", page))
+            self.add_root(self.add("schedule", f"schedule_{self.schedules}", number, "", page))
             self.schedules += 1
             self.in_schedule, self.last_item = True, 0
         else:
             self.in_schedule = False
-            self.roots.append(self.add("chapter", f"chapter_{self.chapters}", number, "", page))
+            self.add_root(self.add("chapter", f"chapter_{self.chapters}", number, "", page))
             self.chapters += 1
             self.title_due = True
         return True
@@ -363,7 +369,7 @@ class Reader:
         """For each note the first row in tree order with its marker: [n] set against a word, or n[."""
         first: dict[str, str] = {}
         wanted = {n["number"] for n in self.notes}
-        for row, _ in order:
+        for row, _ in order if wanted else ():
             text = self.rows[row]["text"]
             found = {m[1] for m in re.finditer(r"(?<![0-9\s])\[([0-9]+)\](?![0-9\s])", text)} | {m[1] for m in re.finditer(r"(?<![0-9])([0-9]+)\[(?![0-9])", text)}
             if "" in wanted and re.search(r"(?<![0-9])\[(?![0-9])", text):
@@ -387,25 +393,47 @@ def read_document(lines: list[tuple[str, int, str]]) -> dict:
     return {"provisions": provisions, "notes": notes, "diagnostics": [{"code": c, "message": m} for c, m in reader.diagnostics]}
 
 
-def parse(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """One row for each document: provisions, notes and diagnostics as arrays. Lines need doc_id, seq, text, page_number, note_class."""
+def cite_document(provisions_: list[dict]) -> list[dict]:
+    """Citations of one document's provisions, resolved against its own eIds."""
+    known = {p["eid"] for p in provisions_}
+    out = []
+    for p in provisions_:
+        for n, c in enumerate(find_citations(p["text"])):
+            out.append(c | {"parent_eid": p["eid"], "cite_seq": n, "resolved": not c["external"] and c["target_eid"] in known})
+    return out
+
+
+def _array_type(fields: str) -> str:
+    return f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def parse(lines: DataFrame, doc: str = "doc_id", cite: bool = False) -> DataFrame:
+    """One row for each document: provisions, notes and diagnostics as arrays. Lines need doc_id, seq, text, page_number, note_class.
+
+    cite: also the resolved citations, found in the same pass; without it they can be found on the flat
+    provisions, in parallel inside a document, at the price of a join for their resolution.
+    """
     kind = lines.schema[doc].dataType.simpleString()
     numbered = lines.select(F.col(doc).alias("doc_id"), F.struct("seq").alias("seq"), "text", F.col("page_number").cast("int").alias("page_number"), "note_class")
     grouped = numbered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "page_number", "note_class"))).alias("lines"))
     plain = grouped.select("doc_id", F.transform("lines", lambda x: F.struct(x["text"].alias("text"), x["page_number"].alias("page_number"), x["note_class"].alias("note_class"))).alias("lines"))
-    schema = f"doc_id {kind}, provisions array<struct<{PROVISION_FIELDS.replace(' ', ':').replace(',:', ',')}>>, notes array<struct<{NOTE_FIELDS.replace(' ', ':').replace(',:', ',')}>>, diagnostics array<struct<{DIAGNOSTIC_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
-    arrow = [
-        pa.list_(pa.struct([("eid", pa.string()), ("kind", pa.string()), ("num", pa.string()), ("heading", pa.string()), ("text", pa.string()), ("parent_eid", pa.string()), ("holder", pa.int32()), ("seq", pa.int32()), ("depth", pa.int32()), ("page_numbers", pa.list_(pa.int32()))])),
-        pa.list_(pa.struct([("number", pa.string()), ("raw_text", pa.string()), ("amend_text", pa.string()), ("page_number", pa.int32()), ("associated_eid", pa.string())])),
-        pa.list_(pa.struct([("code", pa.string()), ("message", pa.string())])),
-    ]
+    parts = {"provisions": PROVISION_FIELDS, "notes": NOTE_FIELDS, "diagnostics": DIAGNOSTIC_FIELDS} | ({"citations": CITATION_FIELDS} if cite else {})
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    arrow = {name: pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])) for name, fields in parts.items()}
 
     def rows(batches):
         for batch in batches:
             made = [read_document([(x["text"], x["page_number"], x["note_class"]) for x in doc_lines]) for doc_lines in batch.column("lines").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[n] for m in made], t) for n, t in zip(("provisions", "notes", "diagnostics"), arrow))], names=["doc_id", "provisions", "notes", "diagnostics"])
+            if cite:
+                made = [m | {"citations": cite_document(m["provisions"])} for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[n] for m in made], t) for n, t in arrow.items())], names=["doc_id", *arrow])
+
+    return plain.mapInArrow(rows, f"doc_id {kind}, " + ", ".join(f"{name} {_array_type(fields)}" for name, fields in parts.items()))
+
 
-    return plain.mapInArrow(rows, schema)
+def citations(parsed: DataFrame) -> DataFrame:
+    """Citations of documents parsed with cite."""
+    return parsed.select("doc_id", F.inline("citations"))
 
 
 def provisions(parsed: DataFrame) -> DataFrame:

@@ -81,12 +81,11 @@ def repeat_text_keys(spark, sf_dir):
 
 def _parsed(spark, sf_dir):
     rows = STATUTES.frame(spark, sf_dir).select("doc_id", "seq", "text", F.lit(1).alias("page_number"), F.lit("unknown").alias("note_class"))
-    return statute.parse(rows)
+    return statute.parse(rows, cite=True)
 
 
 def _resolved(spark, sf_dir):
-    provisions = statute.provisions(_parsed(spark, sf_dir))
-    return citations.resolve(citations.extract_citations(provisions), provisions)
+    return statute.citations(_parsed(spark, sf_dir))
 
 
 STATUTE_CITES = """, n AS (SELECT doc_id, max(seq) AS top FROM t GROUP BY doc_id),
@@ -106,6 +105,14 @@ def statute_citations(spark, sf_dir):
     return _resolved(spark, sf_dir).select("doc_id", "parent_eid", "target_eid", "relation", "resolved", "external")
 
 
+@register("joined_resolution", STATUTES.over(STATUTE_CITES + "SELECT doc_id, parent_eid, target_eid, resolved FROM c"))
+def joined_resolution(spark, sf_dir):
+    """Citations found on flat provisions and resolved by a join, for documents of any size."""
+    rows = STATUTES.frame(spark, sf_dir).select("doc_id", "seq", "text", F.lit(1).alias("page_number"), F.lit("unknown").alias("note_class"))
+    provisions = statute.provisions(statute.parse(rows))
+    return citations.resolve(citations.extract_citations(provisions), provisions).select("doc_id", "parent_eid", "target_eid", "resolved")
+
+
 @register("citation_spans", STATUTES.over("""SELECT doc_id, 'sec_' || seq || '__subsec_1' AS parent_eid, CAST(length(CASE kind WHEN 0 THEN 'Notwithstanding anything in ' WHEN 1 THEN 'Subject to ' WHEN 2 THEN 'As provided in ' ELSE 'Under ' END) AS INTEGER) AS span_start,
   CASE kind WHEN 0 THEN 'sub-section (1) of section ' || target WHEN 1 THEN 'section ' || target || '(1)' WHEN 2 THEN 'rule ' || target || '(4)' ELSE 'section ' || target || ' of the Central Excise Act, 1944' END AS raw_text FROM t"""))
 def citation_spans(spark, sf_dir):
@@ -124,9 +131,15 @@ def statute_provisions(spark, sf_dir):
 
 @register("statute_summary", STATUTES.over(STATUTE_CITES + "SELECT doc_id, CAST(2 * (SELECT top FROM n WHERE n.doc_id = c.doc_id) AS BIGINT) AS provisions, count(*) AS citations, count(*) FILTER (resolved) AS resolved, count(*) FILTER (external) AS external, count(*) FILTER (NOT resolved AND NOT external) AS unresolved FROM c GROUP BY doc_id"))
 def statute_summary(spark, sf_dir):
-    provisions = statute.provisions(_parsed(spark, sf_dir))
-    found = citations.resolve(citations.extract_citations(provisions), provisions)
-    return X.summary(provisions, found).select("doc_id", "provisions", "citations", "resolved", "external", "unresolved")
+    """Counts on each document's own row: no join and one pass."""
+    size = lambda cond: F.size(F.filter("citations", cond)).cast("bigint")
+    return _parsed(spark, sf_dir).select("doc_id", F.size("provisions").cast("bigint").alias("provisions"), F.size("citations").cast("bigint").alias("citations"), size(lambda c: c["resolved"]).alias("resolved"), size(lambda c: c["external"]).alias("external"), size(lambda c: ~c["resolved"] & ~c["external"]).alias("unresolved"))
+
+
+@register("document_summary", STATUTES.over(STATUTE_CITES + "SELECT doc_id, CAST(2 * (SELECT top FROM n WHERE n.doc_id = c.doc_id) AS BIGINT) AS provisions, count(*) FILTER (resolved) AS resolved FROM c GROUP BY doc_id"))
+def document_summary(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return X.summary(statute.provisions(parsed), statute.citations(parsed)).select("doc_id", "provisions", "resolved")
 
 
 @register("statute_diagnostics")

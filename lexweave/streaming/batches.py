@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lexweave.operators import citations, lines, statute
+from lexweave.operators import lines, statute
 
 
 def text_stream(spark: SparkSession, path: str, schema: str = "doc_id bigint, text string") -> DataFrame:
@@ -19,11 +19,9 @@ def parse_stream(docs: DataFrame, sink: str, checkpoint: str, available_now: boo
     """Parses arriving documents and appends provisions and citations under the sink, by batch so that a retry replaces."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = statute.parse(lines.text_lines(batch)).persist()
-        provisions = statute.provisions(parsed)
-        found = citations.resolve(citations.extract_citations(provisions), provisions)
-        provisions.write.mode("overwrite").parquet(f"{sink}/provisions/batch={batch_id}")
-        found.write.mode("overwrite").parquet(f"{sink}/citations/batch={batch_id}")
+        parsed = statute.parse(lines.text_lines(batch), cite=True).persist()
+        statute.provisions(parsed).write.mode("overwrite").parquet(f"{sink}/provisions/batch={batch_id}")
+        statute.citations(parsed).write.mode("overwrite").parquet(f"{sink}/citations/batch={batch_id}")
         parsed.unpersist()
         if each:
             each(batch, batch_id)

@@ -60,6 +60,8 @@ def test_tables_in_spark(spark):
     rule = got["sec_16__subsec_2__cl_b", "rule_36__subrule_4"]
     assert (rule.resolved, rule.external, rule.target_type) == (False, True, "rule")
     assert not got["sec_16__subsec_1", "sec_49"].resolved
+    own = statute.citations(statute.parse(lines.text_lines(docs), cite=True))
+    assert sorted(map(str, own.select(found.columns).collect())) == sorted(map(str, found.collect()))
     note = statute.footnotes(parsed).where("doc_id = 1").first().amendment
     assert (note.footnote_number, note.action, note.amending_act, note.amending_section, note.effective_date, note.substituted_for) == ("1", "substituted", "Act 12 of 2020", "s. 118", "1-1-2021", "sub-section (4)")
     assert statute.attached_amendments(statute.footnotes(parsed)).first().eid == "sec_16__subsec_2__cl_b"

@@ -29,8 +29,8 @@ from .common import stored
 from .components import connected_components
 from .topk import finite
 
-#: Rows that the centres are fitted on, at most.
-SAMPLE_ROWS = 20_000
+#: Rows and components that the centres are fitted on, at most.
+SAMPLE_ROWS, SAMPLE_COMPONENTS = 20_000, 4_000_000
 MAX_CELLS = 1024
 BLOCK_ROWS = 4096
 
@@ -121,6 +121,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
     k = max(1, min(MAX_CELLS, rows // block))
     # A bounded sample, of the dimension that most vectors have; the others form cells of their own.
     dims = [r[0] for r in copies.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()]
+    sample_rows = min(sample_rows, max(k, SAMPLE_COMPONENTS // max(1, dims[0] if dims else 1)))
     sample = copies.where(F.size("v") == (dims[0] if dims else 0)).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").toArrow()
     centres = spherical_kmeans(unit(_vectors(sample.column("v"))), k) if dims else np.zeros((0, 0))
 
@@ -137,7 +138,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("w"), batch.column("v"), pa.array(cell, pa.int64()), pa.array(angle)], names=["rep", "w", "v", "cell", "angle"])
 
     placed = stored(copies.select("rep", "w", "v").mapInArrow(assign, "rep bigint, w bigint, v array<double>, cell bigint, angle double"), "cells")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).orderBy("cell").limit(MAX_CELLS + 100_000).collect()  # a row for each cell
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).orderBy("cell").collect()  # a row for each of at most MAX_CELLS cells and for each other dimension
     parts = {s.cell: math.ceil(s.n / block) for s in stats}
     radius = np.full(len(centres), -np.inf)
     for s in stats:

@@ -145,9 +145,14 @@ class Vocabulary:
 
 
 def _blocks(df: DataFrame, id_column: str):
-    """A column that names a row's block: its input split and a hash of its id, the same at every reading."""
+    """A column that names a row's block, the same at every reading.
+
+    Rows that come straight from files go by their input split and a hash of their id; others, and rows that
+    have been shuffled, by a hash of their id alone.
+    """
     spark = df.sparkSession
-    if df.inputFiles():
+    one = df.select(F.input_file_name().alias("file")).first()
+    if one and one.file:
         split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
         parts = max(1, math.ceil(2 * split / BLOCK_BYTES))
         return F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(id_column), F.lit(parts)))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------------------------------
 
-NOTE_SYMBOLS = "*∗†‡§¶#"
-CANONICAL_SYMBOLS = ("∗", "**")
+NOTE_SYMBOLS = "*∗\uf02a†‡§¶#"
+CANONICAL_SYMBOLS = ("∗\uf02a", "**")
 FULL_QUALITY_CHARS = 100
 REPLACEMENT_PENALTY = 20
 PRINTABLE = r"[\p{L}\p{M}\p{N}\p{P}\p{S} ]"

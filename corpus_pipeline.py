@@ -13,8 +13,8 @@ from lexweave.llm import langid, mixing, neardup, pieces, quality
 from lexweave.llm.common import id_fold, stored, table
 from lexweave.shipping import ship
 
-#: A text of this many characters whose best cosine is lower is in no known language; a shorter one may just be short.
-LEAST_COSINE, TELLING_CHARS = 0.15, 200
+#: Of the language vectors: the noise of a cosine is about one by the root of this.
+LANGUAGE_DIMENSIONS = 2048
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -33,10 +33,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
     ship(spark)
-    languages, profile = langid.prototypes(docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True))))
-    told = langid.predict(_packed(docs), languages, profile, text="row.text", keep=("row",))
-    foreign = (F.col("score") < LEAST_COSINE) & (F.length("row.text") >= TELLING_CHARS)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & ~foreign).select("row.*")
+    training = docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True)))
+    languages, profile = langid.prototypes(training, dimensions=LANGUAGE_DIMENSIONS)
+    bound = langid.bounds(training, languages, profile)
+    told = langid.predict(_packed(docs), languages, profile, text="row.text", keep=("row",), bound=bound)
+    return told.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,13 @@ letters, each permuted (rotated) by its place; a text's vector bundles (adds) th
 language's prototype bundles those of its training texts. A text's language is that of the prototype with
 the highest cosine. Letters are lower-cased; every run of other characters is one space.
 
+Bounds tell which texts are in none of the languages: those whose letters are for the most part no letters of
+the training texts, and those whose cosine is lower than that of training texts of their length (by n-grams, in
+powers of two). A training text is held against its language without itself, whole and cut to its first
+characters, so that short lengths have bounds too. A bound is the LOW quantile of these cosines, or half-way
+from it to the HIGH quantile of the cosines with the other languages where that is less. More than LOW of
+training texts with a wrong language therefore lower the bounds.
+
 Defined results: a null text or a text without a letter is "und" with score 0; ties go to the first language
 in code point order; without training rows every text is "und"; texts of any length are used whole; repeated
 rows give a row each; an empty table gives no row; only the named columns are read, so names cannot clash.
@@ -26,6 +33,14 @@ SEED = 20_251
 UNKNOWN = "und"
 #: Columns of an n-gram count matrix that are multiplied at a time.
 COLUMNS = 8192
+#: Texts whose vectors are held at a time.
+ROWS = 1000
+#: Quantiles of the cosines of training texts with their own and with the other languages.
+LOW, HIGH = 0.005, 0.99
+#: Training texts are also measured by so many first characters.
+CUTS = (2, 4, 8, 16, 32, 64, 128, 256)
+#: Cells of a cosine, and the least share of all training letters that a letter of the languages has.
+CELLS, LEAST_SHARE = 1000, 1e-5
 
 _LETTERS: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
@@ -102,17 +117,21 @@ def gram_counts(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray
     return grams, pair // max(1, len(distinct)), pair % max(1, len(distinct)), counts
 
 
-def bundles(texts: list[str], dimensions: int = DIMENSIONS, rows: np.ndarray | None = None, groups: int = 0) -> np.ndarray:
-    """The vector of each text; with rows, the sums over the texts of each group (rows names a text's group)."""
-    grams, text, gram, counts = gram_counts(texts)
+def bundles(texts: list[str], dimensions: int = DIMENSIONS, rows: np.ndarray | None = None, groups: int = 0, counted: tuple | None = None) -> np.ndarray:
+    """The vector of each text; with rows, the sums over the texts of each group (rows names a text's group).
+
+    counted: gram_counts(texts), where it is at hand.
+    """
+    grams, text, gram, counts = gram_counts(texts) if counted is None else counted
     at = text if rows is None else rows[text]
     n = len(texts) if rows is None else groups
     out = np.zeros((n, dimensions), np.float32 if rows is None else np.float64)
     order = np.argsort(gram, kind="stable")
     at, gram, counts = at[order], gram[order], counts[order]
-    for begin in range(0, len(grams), COLUMNS):
-        a, b = np.searchsorted(gram, [begin, begin + COLUMNS])
-        width = min(COLUMNS, len(grams) - begin)
+    columns = max(1, min(COLUMNS, COLUMNS * DIMENSIONS // dimensions))
+    for begin in range(0, len(grams), columns):
+        a, b = np.searchsorted(gram, [begin, begin + columns])
+        width = min(columns, len(grams) - begin)
         matrix = np.bincount(at[a:b] * width + gram[a:b] - begin, weights=counts[a:b], minlength=n * width).reshape(n, width).astype(np.float32)
         out += matrix @ gram_vectors(grams[begin : begin + width], dimensions).astype(np.float32)
     return out
@@ -143,8 +162,90 @@ def prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dimensions
     return [r.lang for r in rows], np.array([r.v for r in rows], np.float64).reshape(len(rows), dimensions)
 
 
-def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds lang_pred and score (the cosine, at least 0) to the kept columns."""
+def parts(batch: pa.RecordBatch, text: str):
+    """Slices of a batch with at most ROWS rows."""
+    for part in slices(batch, text):
+        for begin in range(0, part.num_rows, ROWS):
+            yield part.slice(begin, ROWS)
+
+
+def sizes_of(counted: tuple, n: int) -> np.ndarray:
+    """The size class of each of n texts: the whole binary logarithm of its n-grams, -1 for none."""
+    return np.frexp(np.bincount(counted[1], weights=counted[3], minlength=n))[1] - 1
+
+
+def bounds(df: DataFrame, languages: list[str], profile: np.ndarray, text: str = "text", lang: str = "lang") -> tuple[np.ndarray, np.ndarray]:
+    """The least cosine by size class and the letters of the languages, from the rows that the prototypes were made of.
+
+    Each task counts cosines by size class and cell, and letters; the counts are aggregated. What comes to the
+    driver is a row for each class and cell, and one for each letter.
+    """
+    dimensions = profile.shape[1]
+    place = {name: k for k, name in enumerate(languages)}
+    norms = np.linalg.norm(profile, axis=1)
+    directions = profile / np.where(norms > 0, norms, 1)[:, None]
+
+    def tallies(batches):
+        totals: dict[tuple[int, int, int], int] = {}
+
+        def add(what: int, sizes: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None):
+            pairs, at = np.unique(np.stack([sizes, values]), axis=1, return_inverse=True)
+            for (size, value), n in zip(pairs.T.tolist(), np.bincount(at.ravel(), weights=weights).astype(np.int64).tolist()):
+                totals[what, size, value] = totals.get((what, size, value), 0) + n
+
+        def cells(x: np.ndarray) -> np.ndarray:
+            return (np.clip(x, 0, 1) * CELLS).astype(np.int64)
+
+        for batch in batches:
+            for part in parts(batch, text):
+                texts = part.column(text).to_pylist()
+                own = np.array([place[x] for x in part.column(lang).to_pylist()], np.int64)
+                counted = gram_counts(texts)
+                # Every letter of a text is the middle one of one n-gram.
+                letters = counted[0][counted[2], 1]
+                add(2, np.zeros(len(letters), np.int64), letters, counted[3])
+                without = profile[own]
+                for cut in (None, *CUTS):
+                    cuts = texts if cut is None else [t[:cut] for t in texts]
+                    counted = counted if cut is None else gram_counts(cuts)
+                    vectors = bundles(cuts, dimensions, counted=counted).astype(np.float64)
+                    if cut is None:
+                        without -= vectors
+                        rest = np.linalg.norm(without, axis=1)
+                    size, sizes = np.linalg.norm(vectors, axis=1), sizes_of(counted, len(cuts))
+                    scale = np.where(size > 0, size, 1)
+                    near = vectors @ directions.T / scale[:, None]
+                    near[np.arange(len(own)), own] = -1
+                    other = near.max(1) if len(languages) > 1 else np.zeros(len(own))
+                    mine = np.einsum("ij,ij->i", vectors, without) / (scale * np.where(rest > 0, rest, 1))
+                    some = (sizes >= 0) if cut is None else (sizes >= 0) & (np.array([len(t) for t in texts]) > cut)
+                    add(0, sizes[some], cells(mine[some]))
+                    add(1, sizes[some], cells(other[some]))
+        keys = np.array(list(totals), np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, k]) for k in range(3)), pa.array(list(totals.values()), pa.int64())], names=["what", "size", "value", "n"])
+
+    tallied = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).mapInArrow(tallies, "what bigint, size bigint, value bigint, n bigint")
+    rows = np.array(tallied.groupBy("what", "size", "value").agg(F.sum("n").alias("n")).collect(), np.int64).reshape(-1, 4)
+
+    def quantile(what: int, size: int, share: float) -> float:
+        found = rows[(rows[:, 0] == what) & (rows[:, 1] == size)]
+        found = found[np.argsort(found[:, 2])]
+        upto = np.cumsum(found[:, 3])
+        return found[np.searchsorted(upto, share * upto[-1]), 2] / CELLS
+
+    least = np.full(64, np.inf)
+    for size in np.unique(rows[rows[:, 0] == 0, 1]):
+        low, high = quantile(0, size, LOW), quantile(1, size, HIGH)
+        least[size] = min(low, (low + high) / 2)
+    seen = np.flatnonzero(np.isfinite(least))
+    if len(seen):
+        least[seen[-1] :] = least[seen[-1]]
+    letters = rows[rows[:, 0] == 2]
+    return np.minimum.accumulate(least[::-1])[::-1], np.sort(letters[letters[:, 3] >= LEAST_SHARE * letters[:, 3].sum(), 2])
+
+
+def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bound: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Adds lang_pred and score (the cosine, at least 0) to the kept columns. With bounds, a text beyond them is "und"."""
     dimensions = profile.shape[1]
     norms = np.linalg.norm(profile, axis=1, keepdims=True)
     directions = (profile / np.where(norms > 0, norms, 1)).astype(np.float32)
@@ -152,16 +253,23 @@ def predict(df: DataFrame, languages: list[str], profile: np.ndarray, text: str
 
     def rows(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in parts(batch, text):
                 texts = column_of(part, text).fill_null("").to_pylist()
-                vectors = bundles(texts, dimensions)
+                counted = gram_counts(texts)
+                vectors = bundles(texts, dimensions, counted=counted)
                 sizes = np.linalg.norm(vectors, axis=1)
                 known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(languages)
                 if languages:
                     near = vectors @ directions.T / np.where(sizes > 0, sizes, 1)[:, None]
                     best = near.argmax(1)
                     score = np.clip(near[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-                    names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+                    inside = known
+                    if bound is not None:
+                        least, letters = bound
+                        total = np.bincount(counted[1], weights=counted[3], minlength=len(texts))
+                        own = np.bincount(counted[1], weights=counted[3] * np.isin(counted[0][:, 1], letters)[counted[2]], minlength=len(texts))
+                        inside = known & (2 * own >= total) & (score >= least[np.maximum(sizes_of(counted, len(texts)), 0)])
+                    names = [languages[b] if k else UNKNOWN for b, k in zip(best, inside)]
                 else:
                     score, names = np.zeros(len(texts)), [UNKNOWN] * len(texts)
                 kept = [part.column(c) for c in keep]

@@ -59,3 +59,24 @@ def test_a_language_that_is_none_is_rejected():
     chain = quality.train(["A plain line of words.", "$$$ ### %%%"] * 20, [1, 0] * 20, rounds=60)
     good, bad = chain.scores(*text_buffers(pa.array(["Other plain words here.", "### $$$ ***"])))
     assert good > 0.7 > bad and np.isfinite(good)
+
+
+FOREIGN = [
+    "Дом",
+    "Человек, его права и свободы являются высшей ценностью.",
+    "中华人民共和国的一切权力属于人民。",
+    "Rzeczpospolita Polska jest dobrem wspólnym wszystkich obywateli i urzeczywistnia zasady sprawiedliwości społecznej.",
+    "La Repubblica riconosce e garantisce i diritti inviolabili dell'uomo, sia come singolo sia nelle formazioni sociali ove si svolge la sua personalità, e richiede l'adempimento dei doveri inderogabili di solidarietà politica, economica e sociale. È compito della Repubblica rimuovere gli ostacoli di ordine economico e sociale.",
+    "Allen die zich in Nederland bevinden, worden in gelijke gevallen gelijk behandeld. Discriminatie wegens godsdienst, levensovertuiging, politieke gezindheid, ras, geslacht of op welke grond dan ook, is niet toegestaan. De trein kwam gisteren niet op tijd aan en de mensen stonden te wachten op het perron.",
+    "Человек, его права и свободы являются высшей ценностью. " * 20,
+]
+
+
+def test_the_language_stage_rejects_foreign_texts_short_and_long(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    good = docs.join(labels, "doc_id", "left_semi").select(docs.columns)
+    foreign = spark.createDataFrame([(9_100_000 + k, t, None, "a", len(t)) for k, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, good.unionByName(foreign), SF).collect()}
+    assert [k for k, _ in enumerate(FOREIGN) if 9_100_000 + k in kept] == []
+    assert len(kept) >= 0.985 * good.count()

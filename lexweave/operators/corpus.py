@@ -96,11 +96,18 @@ def violations(pages: DataFrame, lines: DataFrame, nodes: DataFrame | None = Non
 
 
 def retained(cache: DataFrame, limit: int) -> DataFrame:
-    """Entries (path, bytes, modified) that stay when the oldest go until the limit is met."""
+    """Entries (path, bytes, modified) that stay when the oldest go until the limit is met.
+
+    Sums run over days, and inside a day over its entries, so no task gets more than a day's entries.
+    """
     from pyspark.sql import Window
 
-    newest = Window.orderBy(F.desc("modified"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return cache.withColumn("held", F.sum("bytes").over(newest)).where(F.col("held") <= limit)
+    day = F.to_date("modified")
+    newest = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    days = cache.groupBy(day.alias("day")).agg(F.sum("bytes").alias("bytes")).select(F.col("day").alias("its_day"), F.coalesce(F.sum("bytes").over(newest), F.lit(0)).alias("newer"))
+    inside = Window.partitionBy(day).orderBy(F.desc("modified"), "path").rowsBetween(Window.unboundedPreceding, 0)
+    held = cache.withColumn("held", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(days, day.eqNullSafe(F.col("its_day")))
+    return held.withColumn("held", F.col("held") + F.col("newer")).where(F.col("held") <= limit).select(*cache.columns, "held")
 
 
 def latency_summary(batches: DataFrame) -> DataFrame:

@@ -736,6 +736,12 @@ def cache_retention(spark, sf_dir):
     return corpus.retained(cache, 100_000).select("path")
 
 
+@register("cache_retention_all_orders")
+def cache_retention_all_orders(spark, sf_dir):
+    cache = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.col("o_orderdate").alias("modified"))
+    return corpus.retained(cache, 100_000).select("path")
+
+
 @register("latency_summary", "SELECT count(*) AS batches, CAST(sum(l_linenumber) AS BIGINT) AS lines, s[CAST(ceil((len(list(1)) - 1) * 50 / 100) AS INTEGER) + 1] AS p50 FROM lineitem, (SELECT list_sort(list(l_quantity)) AS s FROM lineitem) GROUP BY s")
 def latency_summary(spark, sf_dir):
     b = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("lines"), F.lit(1.0).alias("used"), F.lit(2.0).alias("padded"), F.col("l_quantity").alias("seconds"))

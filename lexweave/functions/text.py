@@ -57,7 +57,8 @@ def compact_note_line(text: Column) -> Column:
 
 def joined_lines(lines: Column) -> Column:
     """Lines as running text: trimmed, blank ones dropped, a hyphen before a lower-case letter closed up."""
-    kept = F.filter(F.transform(lines, F.trim), lambda t: t != "")
+    # F.trim itself would take the line's index as the characters to trim.
+    kept = F.filter(F.transform(lines, lambda t: F.trim(t)), lambda t: t != "")
 
     def step(done: Column, t: Column) -> Column:
         closes = done.endswith("-") & t.rlike(r"^\p{Ll}")

@@ -434,7 +434,7 @@ def paragraphs(spark, sf_dir):
 
 @register("joined_page_text", "SELECT doc_id, CAST(length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ')) AS INTEGER) AS n FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
 def joined_page_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"-\s*\n")).select("doc_id", F.length(T.joined_lines(F.split("text", "\n"))).alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(T.joined_lines(F.split("text", "\n"))).alias("n"))
 
 
 @register("text_offsets", LINES.over("SELECT doc_id, line_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page_index, reading_order, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t"))

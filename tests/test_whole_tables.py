@@ -19,3 +19,18 @@ def test_retention_of_all_orders(spark):
         assert {r.path for r in corpus.retained(cache, limit).collect()} == expected
         if limit == 100_000:
             assert {r.path for r in catalog.queries()["cache_retention_all_orders"](spark, SF).collect()} == expected
+
+
+def test_joined_page_text_keeps_wrapped_words_and_nulls(spark, tmp_path):
+    texts = ["an exam-\nple of it", "Non-\n EU goods", "a dash -\n\n goes on", "fine\n\n text ", "", None, "one-\ntwo-\nthree"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def joined(text):
+        done = ""
+        for t in (x.strip(" ") for x in text.split("\n")):
+            if t:
+                done = done[:-1] + t if done.endswith("-") and t[0].islower() else f"{done} {t}".lstrip(" ")
+        return done
+
+    got = {r.doc_id: r.n for r in catalog.queries()["joined_page_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else len(joined(t)) for k, t in enumerate(texts)}

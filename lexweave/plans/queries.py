@@ -927,6 +927,12 @@ def contents_rows(spark, sf_dir):
     return candidates.contents_rows(listed).select("doc_id", "page_index", "line_id", "entries")
 
 
+@register("contents_rows_every_page")
+def contents_rows_every_page(spark, sf_dir):
+    listed = lines(spark, sf_dir).withColumn("text", F.concat(F.lit("Part ..... "), F.col("n").cast("string")))
+    return candidates.contents_rows(listed).select("doc_id", "page_index", "line_id", "entries")
+
+
 @register("sandwiched_regions")
 def sandwiched_regions(spark, sf_dir):
     rows = lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_id").alias("region_id"), F.when(F.col("k") % 2 == 0, "footnote").otherwise("text").alias("label"), "bbox", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))

@@ -1,7 +1,10 @@
 """Queries over whole tables against plain Python."""
 
+from collections import defaultdict
+
 from lexweave.operators import corpus
 from lexweave.plans import catalog
+from lexweave.plans.synthetic import LINES
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +37,13 @@ def test_joined_page_text_keeps_wrapped_words_and_nulls(spark, tmp_path):
 
     got = {r.doc_id: r.n for r in catalog.queries()["joined_page_text"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else len(joined(t)) for k, t in enumerate(texts)}
+
+
+def test_contents_rows_of_every_page(spark):
+    pages = defaultdict(list)
+    for r in LINES.frame(spark, SF).select("doc_id", "page_index", "line_id", "region_type").collect():
+        pages[r.doc_id, r.page_index].append(r)
+    listed = {k: [r.line_id for r in rows if r.region_type not in ("header", "footer")] for k, rows in pages.items()}
+    expected = {(*k, line, len(ids)) for k, ids in listed.items() if len(ids) >= 5 for line in ids}
+    assert any(n < 8 for *_, n in expected)
+    assert {tuple(r) for r in catalog.queries()["contents_rows_every_page"](spark, SF).collect()} == expected

@@ -468,6 +468,14 @@ def nearest_note_bodies(spark, sf_dir):
     return regions.nearest_label(rows.where("reading_order % 2 = 0"), bodies)
 
 
+@register("nearest_note_bodies_all_lines")
+def nearest_note_bodies_all_lines(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    up = (F.col("k") % 3) * 78
+    bodies = rows.withColumn("bbox", F.struct("x0", (F.col("y0") - up).alias("y0"), "x1", (F.col("y1") - up).alias("y1")))
+    return regions.nearest_label(rows, bodies)
+
+
 # --- Reading order and layout ---------------------------------------------------------------------------
 
 
@@ -771,6 +779,12 @@ def pdf_acceptance(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(files.is_pdf(content)).select("doc_id")
 
 
+@register("pdf_acceptance_whole_texts")
+def pdf_acceptance_whole_texts(spark, sf_dir):
+    content = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7")).otherwise(F.lit("PDF")).cast("binary"))
+    return read(spark, sf_dir, "documents").where(files.is_pdf(content)).select("doc_id")
+
+
 @register("page_selections", "SELECT DISTINCT l_linenumber AS a, CASE WHEN l_linenumber > 5 THEN NULL ELSE CASE WHEN l_linenumber = 1 THEN [0] WHEN l_linenumber = 2 THEN [0, 1] ELSE [0, l_linenumber - 1] END END AS pages FROM lineitem".replace("CASE WHEN l_linenumber > 5 THEN NULL ELSE CASE WHEN l_linenumber = 1 THEN [0] WHEN l_linenumber = 2 THEN [0, 1] ELSE [0, l_linenumber - 1] END END AS pages", "CAST(CASE WHEN l_linenumber > 5 THEN -1 WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS INTEGER) AS n"))
 def page_selections(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("a")).distinct()

@@ -47,3 +47,29 @@ def test_contents_rows_of_every_page(spark):
     expected = {(*k, line, len(ids)) for k, ids in listed.items() if len(ids) >= 5 for line in ids}
     assert any(n < 8 for *_, n in expected)
     assert {tuple(r) for r in catalog.queries()["contents_rows_every_page"](spark, SF).collect()} == expected
+
+
+def test_pdf_acceptance_of_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    content = {r.doc_id: (r.text or "").encode() + (b"%PDF-1.7" if r.doc_id % 2 == 0 else b"PDF") for r in docs if r.text is not None}
+    expected = {k for k, c in content.items() if b"%PDF-" in c[:1024]}
+    assert 0 < len(expected) < sum(r.doc_id % 2 == 0 for r in docs)
+    assert {r.doc_id for r in catalog.queries()["pdf_acceptance_whole_texts"](spark, SF).collect()} == expected
+
+
+def test_nearest_note_bodies_of_all_lines(spark):
+    pages = defaultdict(list)
+    for r in LINES.frame(spark, SF).collect():
+        pages[r.doc_id, r.page_index].append(r)
+    expected = set()
+    for k, rows in pages.items():
+        for a in rows:
+            met = []
+            for b in rows:
+                y0, y1 = b.y0 - b.k % 3 * 78, b.y1 - b.k % 3 * 78
+                shared, low = min(a.y1, y1) - max(a.y0, y0), min(a.y1 - a.y0, y1 - y0)
+                if a.line_id != b.line_id and b.x0 >= a.x0 and shared > 0 and low > 0 and shared / low >= 0.5:
+                    met.append((max(b.x0 - a.x1, 0), abs(y0 - a.y0), b.line_id))
+            if met:
+                expected.add((*k, a.line_id, min(met)[2]))
+    assert {tuple(r) for r in catalog.queries()["nearest_note_bodies_all_lines"](spark, SF).collect()} == expected

@@ -200,10 +200,15 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
 
 
 def keep_one(df: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without their near duplicates: of each class the one with the least id, once."""
-    classes = stored(near_duplicate_classes(df, threshold, id_column, text).select(F.col(id_column).alias("id"), "kept").where("id is not null"), "classes")
-    counted = classes.groupBy("id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("times")).where("kept").drop("kept")
-    packed = df.select(F.col(id_column).cast("bigint").alias("id"), F.struct("*").alias("row"))
-    kept = packed.join(counted, "id")
-    once = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["id"]))
+    """The documents without their near duplicates: of each class the one with the least id, once.
+
+    An id with different texts is a document for each text here: rows are known by a 64-bit hash of id and text.
+    """
+    key = F.xxhash64(F.col(id_column).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
+    packed = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), key.alias("key"), F.struct("*").alias("row"))
+    classes = stored(near_duplicate_classes(packed.select("key", F.col(f"row.{text}").alias("text")), threshold, "key", "text").select("key", "class_id").distinct(), "classes")
+    counted = packed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("times")).join(classes, "key")
+    least = counted.groupBy("class_id").agg(F.min(F.struct("id", "key", "times")).alias("least")).select("least.key", "least.times")
+    kept = packed.select("key", "row").join(least, "key")
+    once = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["key"]))
     return once.select("row.*").unionByName(df.where(F.col(id_column).isNull()))

@@ -98,3 +98,9 @@ def test_keeping_one_of_each_class_with_repeats_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in neardup.keep_one(df).collect()) == ["1", "3", "4", "None"]
     assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_an_id_with_different_texts_costs_no_class_its_member(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (6, b), (7, c), (7, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(df).collect()) == [(1, a), (5, b), (7, c)]

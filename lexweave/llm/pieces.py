@@ -190,17 +190,24 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normaliser = Normaliser(model)
         size = self.processor.get_piece_size()
-        self.lengths = np.zeros(size, np.int64)
+        self.bytes = [b""] * size
         for i in range(size):
             if self.processor.is_byte(i):
-                self.lengths[i] = 1
+                self.bytes[i] = bytes([int(self.processor.id_to_piece(i)[3:5], 16)])
             elif not (self.processor.is_control(i) or self.processor.is_unknown(i)):
-                self.lengths[i] = len(self.processor.id_to_piece(i).encode())
+                self.bytes[i] = self.processor.id_to_piece(i).encode()
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.unknown = self.processor.unk_id()
 
     def spans(self, text: np.ndarray, ids: list[int]) -> np.ndarray:
-        """Source byte span (start, end) of every id; control ids have an empty span at their place."""
-        _, source = self.normaliser(text)
+        """Source byte span (start, end) of every id; control ids have an empty span at their place.
+
+        The bytes of the pieces are the normalised text, or it is a ValueError.
+        """
+        whole, source = self.normaliser(text)
+        if whole is None:
+            whole = (SPACE_PIECE * (self.normaliser.dummy_prefix and len(text) > 0)) + text.tobytes().replace(b" ", SPACE_PIECE)
+        pieces = [self.bytes[i] for i in ids]
         lengths = self.lengths[np.asarray(ids, np.int64)]
         rest = len(source) - 1 - int(lengths.sum())
         if rest:
@@ -208,9 +215,11 @@ class Codec:
             if not unknown:
                 raise ValueError("the pieces do not tile the normalised text")
             parts = self.processor.encode(text.tobytes().decode(), out_type=str)
-            lengths[unknown] = [len(parts[k].encode()) for k in unknown]
+            for k in unknown:
+                pieces[k] = parts[k].encode()
+            lengths[unknown] = [len(pieces[k]) for k in unknown]
         ends = np.cumsum(lengths)
-        if len(ends) and ends[-1] != len(source) - 1:
+        if len(ends) and b"".join(pieces) != whole:
             raise ValueError("the pieces do not tile the normalised text")
         return np.stack([source[ends - lengths], source[ends]], axis=1)
 

@@ -67,3 +67,16 @@ def test_query_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "sha2(coalesce(text, ''), 256) s", "octet_length(coalesce(text, '')) n")
     both = rows.join(docs, "doc_id")
     assert both.where("decoded_sha256 = s and n_source_bytes = n").count() == docs.count()
+
+
+def test_pieces_of_other_bytes_are_refused():
+    import numpy as np
+    import pytest
+
+    from lexweave.llm import pieces
+
+    tool = pieces.codec(pieces.piece_model())
+    text = np.frombuffer(b"the dog", np.uint8)
+    tool.spans(text, tool.processor.encode("the dog"))
+    with pytest.raises(ValueError):
+        tool.spans(text, tool.processor.encode("the cat"))

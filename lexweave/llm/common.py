@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is named, a session of one machine (master local) gets a temporary folder; on a cluster it is
+    an error, as executors could not read what others wrote into folders of their own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lexweave-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that the driver and all executors share")
+        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="lexweave-")).as_uri())
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -32,7 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_fold(column: str, modulus: int) -> Column:
@@ -83,14 +99,19 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, kept and grown as needed."""
-    if len(_POWERS[0]) < n:
-        grown = max(n, 2 * len(_POWERS[0]), 1 << 16)
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            full = np.full(grown, base, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.multiply.accumulate(full)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of an odd base modulo 2**64 and of its inverse; those that a few slices of text need are kept."""
+    kept = min(max(n, 1 << 16), 2 * SLICE_BYTES + 1)
+    grown = max(n, kept)
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        full = np.full(grown, base, np.uint64)
+        full[0] = 1
+        made.append(np.multiply.accumulate(full))
+    if grown == kept:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,13 +137,30 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+class Spans:
+    """64-bit hashes of spans of one buffer, equal for equal bytes wherever they stand."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            self.prefix = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            body = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+            return mix(body + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-        body = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(body + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hashes of spans in order of their starts; a long buffer is worked on in stretches of whole spans."""
+    if len(raw) <= 2 * SLICE_BYTES:
+        return Spans(raw)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES)))
+        begin, end = starts[i], ends[i:j].max()
+        out[i:j] = Spans(raw[begin:end])(starts[i:j] - begin, ends[i:j] - begin)
+        i = j
+    return out

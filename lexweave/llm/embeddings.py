@@ -4,12 +4,13 @@ Vectors are assigned to the nearest of k centres, fitted on a bounded sample. Tw
 or less can stand in cells i and j only if each is within reach of the other cell: (m_i - m_j).x is at most
 sin(theta) |m_i - m_j| for x of cell i, and the angle of x to m_j is at most the cell's radius plus theta. So
 a vector is compared inside its cell and with those other cells only that it can reach: no link is lost, and
-clusters that are tight prune most cells. Cells are split into blocks of bounded size; a task compares two
-blocks, counts the links of each vector and gives the least member of each local group, not the pairs.
-Equal vectors are compared once and counted as often as they occur.
+clusters that are tight prune most cells. Cells that point the same way share a block, large cells are cut into
+several; a vector goes once to each block that holds a cell it can reach. A task compares two blocks, counts the
+links of each vector and gives the least member of each local group, not the pairs. Equal vectors are compared
+once and counted as often as they occur.
 
 Vectors without structure in high dimensions are within reach of most cells; then the work is that of all
-pairs of blocks. That is the price of losing no link.
+pairs of blocks, and each vector is sent to every block. That is the price of losing no link.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing and are
 kept; vectors of different lengths never link; a repeated id is one vector, the least of its rows; a null id
@@ -26,16 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .components import connected_components
+from .components import Groups, connected_components
 from .topk import finite
 
 #: Rows and components that the centres are fitted on, at most.
 SAMPLE_ROWS, SAMPLE_COMPONENTS = 20_000, 4_000_000
-MAX_CELLS = 1024
-BLOCK_ROWS = 4096
+#: Cells at most, and rows of a cell at least on average.
+MAX_CELLS, CELL_ROWS = 1024, 128
+#: Rows and components of a block at most.
+BLOCK_ROWS, BLOCK_COMPONENTS = 32_768, 2_000_000
+#: Vectors that are held against all centres at a time.
+HELD_ROWS = 1000
+#: Keys that the rows of one vector are dealt over.
+SALTS = 1009
 
 
-def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k unit centres of unit vectors."""
     if not len(vectors):
         return np.zeros((0, 0))
@@ -81,31 +88,24 @@ def block_links(left: np.ndarray, right: np.ndarray, same: bool, threshold: floa
             yield r[true] + begin, c[true]
 
 
-class Groups:
-    """Union by least member over positions."""
+def blocks_of(sizes: dict[int, int], centres: np.ndarray, rows: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """The first block and the number of blocks of each cell, and the number of all blocks.
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.find(a), self.find(b)
-            apart = ra != rb
-            if not apart.any():
-                return
-            low, high = np.minimum(ra, rb)[apart], np.maximum(ra, rb)[apart]
-            np.minimum.at(self.root, high, low)
-            a, b = a[apart], b[apart]
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        root = self.root
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        self.root = root
-        return root[x]
+    A cell of more than so many rows has blocks of its own. Smaller ones share blocks, in an order that keeps
+    centres near each other together. Cells below 0 (of other dimensions) share none.
+    """
+    coarse = spherical_kmeans(centres, max(1, math.isqrt(len(centres)))) if len(centres) else centres
+    group = (centres @ coarse.T).argmax(1) if len(centres) else np.zeros(0, np.int64)
+    first, parts, total, room = {}, {}, 0, 0
+    for c in sorted(sizes, key=lambda c: (c < 0, int(group[c]) if c >= 0 else 0, c)):
+        if c < 0 or sizes[c] > rows:
+            first[c], parts[c], room = total, max(1, math.ceil(sizes[c] / rows)), 0
+            total += parts[c]
+            continue
+        if room < sizes[c]:
+            total, room = total + 1, rows
+        first[c], parts[c], room = total - 1, 1, room - sizes[c]
+    return first, parts, total
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -115,13 +115,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
     single = source.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     usable = finite(F.col("v")) & F.exists("v", lambda x: x != 0)
     single = stored(single.select("vec_id", F.when(usable, F.col("v")).alias("v")), "vectors")
-    copies = stored(single.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "copies")
+    # Equal vectors have equal hashes; the least id of each stands for all.
+    keyed = single.where("v is not null").select("vec_id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("s"))
+    copies = stored(keyed.groupBy("h", "g").agg(F.min(F.struct("vec_id", "v")).alias("least"), F.count("*").alias("w")).select("h", "g", F.col("least.vec_id").alias("rep"), "w", F.col("least.v").alias("v")), "copies")
     rows = copies.count()
-    block = max(256, min(block_rows, rows // 16))
-    k = max(1, min(MAX_CELLS, rows // block))
     # A bounded sample, of the dimension that most vectors have; the others form cells of their own.
     dims = [r[0] for r in copies.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()]
-    sample_rows = min(sample_rows, max(k, SAMPLE_COMPONENTS // max(1, dims[0] if dims else 1)))
+    wide = max(1, dims[0] if dims else 1)
+    # Enough blocks that their pairs keep all cores busy.
+    sides = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
+    block = max(1, min(block_rows, BLOCK_COMPONENTS // wide, max(256, math.ceil(rows / sides))))
+    k = max(1, min(MAX_CELLS, rows // CELL_ROWS))
+    sample_rows = min(sample_rows, max(k, SAMPLE_COMPONENTS // wide))
     sample = copies.where(F.size("v") == (dims[0] if dims else 0)).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").toArrow()
     centres = spherical_kmeans(unit(_vectors(sample.column("v"))), k) if dims else np.zeros((0, 0))
 
@@ -139,53 +144,44 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
 
     placed = stored(copies.select("rep", "w", "v").mapInArrow(assign, "rep bigint, w bigint, v array<double>, cell bigint, angle double"), "cells")
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).orderBy("cell").collect()  # a row for each of at most MAX_CELLS cells and for each other dimension
-    parts = {s.cell: math.ceil(s.n / block) for s in stats}
-    radius = np.full(len(centres), -np.inf)
-    for s in stats:
-        if s.cell >= 0:
-            radius[s.cell] = s.r
     theta = math.acos(threshold)
     gaps = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T))) if len(centres) else np.zeros((0, 0))
-    first = {}
-    total = 0
+    # The least cosine to a centre that reaches its cell.
+    least = np.full(len(centres), np.inf)
     for s in stats:
-        first[s.cell] = total
-        total += parts[s.cell]
+        if s.cell >= 0:
+            least[s.cell] = math.cos(min(math.pi, s.r + theta)) - 1e-9
+    first, parts, total = blocks_of({s.cell: s.n for s in stats}, centres, block)
+    member = np.zeros((len(centres), total), np.float32)
+    for c in parts:
+        if c >= 0:
+            member[c, first[c] : first[c] + parts[c]] = 1
 
     def deal(batches):
-        """A vector goes to the pairs of its own block with the blocks of its cell and of the cells in reach."""
-        for batch in batches:
-            v, cells = batch.column("v"), batch.column("cell").to_numpy()
-            reps = batch.column("rep").to_numpy()
-            near = None
-            if len(centres):
-                near = np.full((batch.num_rows, len(centres)), -2.0)
+        """A vector goes to the pairs of its own block with the blocks of the cells in reach."""
+        for whole in batches:
+            for begin in range(0, whole.num_rows, HELD_ROWS):
+                batch = whole.slice(begin, HELD_ROWS)
+                v, cells, reps = batch.column("v"), batch.column("cell").to_numpy(), batch.column("rep").to_numpy()
+                start, n = (np.array([d[c] for c in cells.tolist()], np.int64) for d in (first, parts))
+                own = start + (reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                reached = np.zeros((batch.num_rows, total), bool)
                 main = np.flatnonzero(cells >= 0)
                 if len(main):
-                    near[main] = unit(_vectors(v.take(pa.array(main)))) @ centres.T
-            out_row, out_pair, out_side = [], [], []
-            for c in np.unique(cells):
-                rows_ = np.flatnonzero(cells == c)
-                own = first[c] + (reps[rows_].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[c]
-                reach = [(c, np.ones(len(rows_), bool))]
-                if c >= 0:
-                    margin = near[rows_, c][:, None] - near[rows_]
-                    angle = np.arccos(np.clip(near[rows_], -1, 1))
-                    inside = (margin <= math.sin(theta) * gaps[c][None, :] + 1e-9) & (angle <= radius[None, :] + theta + 1e-9)
-                    reach += [(int(j), inside[:, j]) for j in np.flatnonzero(inside.any(0)) if j != c]
-                for j, mask in reach:
-                    hit, mine = rows_[mask], own[mask]
-                    for other in range(first[j], first[j] + parts[j]):
-                        low, high = np.minimum(mine, other), np.maximum(mine, other)
-                        out_row.append(hit)
-                        out_pair.append(low * total + high)
-                        out_side.append((mine == high) & (low != high))
-            at = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-            pair = np.concatenate(out_pair) if out_pair else np.zeros(0, np.int64)
-            side = np.concatenate(out_side) if out_side else np.zeros(0, bool)
-            for begin in range(0, len(at), 4096):
-                t = pa.array(at[begin : begin + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(pair[begin : begin + 4096]), pa.array(side[begin : begin + 4096]), batch.column("rep").take(t), batch.column("w").take(t), v.take(t)], names=["pair", "side", "rep", "w", "v"])
+                    near, at = unit(_vectors(v.take(pa.array(main)))) @ centres.T, cells[main]
+                    margin = near[np.arange(len(main)), at][:, None] - near
+                    inside = (margin <= math.sin(theta) * gaps[at] + 1e-9) & (near >= least[None, :])
+                    inside[np.arange(len(main)), at] = True
+                    reached[main] = inside.astype(np.float32) @ member > 0
+                for row in np.flatnonzero(cells < 0):
+                    reached[row, start[row] : start[row] + n[row]] = True
+                at, other = np.nonzero(reached)
+                mine = own[at]
+                low, high = np.minimum(mine, other), np.maximum(mine, other)
+                for cut in range(0, len(at), 4096):
+                    t = pa.array(at[cut : cut + 4096])
+                    side = ((mine == high) & (low != high))[cut : cut + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array((low * total + high)[cut : cut + 4096]), pa.array(side), batch.column("rep").take(t), batch.column("w").take(t), v.take(t)], names=["pair", "side", "rep", "w", "v"])
 
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -210,13 +206,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
         linked = np.flatnonzero(links > 0)
         return pa.table([rep[linked], links[linked], rep[order[root[place[linked]]]]], schema=schema)
 
-    tasks = max(16, min(4096, total * (total + 1) // 2), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed.mapInArrow(deal, "pair bigint, side boolean, rep bigint, w bigint, v array<double>").repartitionByRange(tasks, "pair")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, total * (total + 1) // 2))
+    dealt = placed.mapInArrow(deal, "pair bigint, side boolean, rep bigint, w bigint, v array<double>").repartition(tasks, "pair")
     found = stored(dealt.groupBy("pair").applyInArrow(compare, "rep bigint, links bigint, root bigint"), "links")
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    merged = copies.join(counted, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    result = single.where("v is not null").join(merged, "v").select("vec_id", "n_links", "component_id")
+    merged = copies.select("h", "g", "rep", "w").join(counted, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # What is found of a vector comes to each (vector, salt), so that a vector of very many rows is not one key.
+    narrow = keyed.select("vec_id", "h", "g", "s")
+    of_run = narrow.select("h", "g", "s").distinct().join(merged, ["h", "g"])
+    result = narrow.join(of_run, ["h", "g", "s"]).select("vec_id", "n_links", "component_id")
     alone = single.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     nameless = source.where("vec_id is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"))
     every = result.unionByName(alone).unionByName(nameless)

@@ -6,37 +6,43 @@ pairs), or if they are equal. Classes are the connected components of the links.
 
 1. Signatures are made where the documents are read; only ids, a digest of the text and band keys go on.
    Equal texts are one from here on.
-2. Every band bucket has its least member as leader; members are verified against their leaders. That alone
-   joins groups of close copies, in time linear in their size.
-3. Buckets whose members are still in different components form families. A family is cut into blocks, large
-   components into blocks of their own; all pairs of blocks but those inside one component are compared
-   exactly, by products of shingle incidence matrices. A task holds two blocks and gives the least member of
-   each local group, never the pairs. So no candidate of any bucket is left out, however large the bucket.
+2. Every band bucket has its least member as leader; members are verified against their leaders, a leader's
+   members in blocks that read its text once. That alone joins groups of close copies, in time linear in their
+   size.
+3. Buckets whose members are still in different components are compared in full. The buckets of one leader are
+   one group, so that a text that shares several buckets with it is there once; groups are not joined to larger
+   ones, however their members overlap. A group is cut into blocks, large components into blocks of their own;
+   all pairs of blocks but those inside one component are compared exactly, by products of shingle incidence
+   matrices. A task holds two blocks and gives the least member of each local group, never the pairs. So no
+   candidate of any bucket is left out, however large the bucket.
 
 Defined results: null texts and texts without words are in classes of their own, even when they are equal; a
 text of fewer than five words has one shingle of all its words; texts of any length are read whole; rows of a
-repeated id are one document with several texts; a null id has a null class and is kept; an empty table gives
+repeated id give a row each, with the class of their own text; a null id has a null class and is kept; an empty table gives
 no row; only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, overlap, shingle_bags, signatures
 from .common import mix, slices, stored, text_buffers
-from .components import connected_components
-from .embeddings import Groups
+from .components import Groups, connected_components
 
 BANDS = 32
 BAND_ROWS = 5
-BLOCK_ROWS = 512
+#: Texts and bytes of text in a block, about.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 COLUMNS = 8192
+#: Keys that the documents of one text are dealt over.
+SALTS = 1009
 
 
 def sign(df: DataFrame, id_column: str, text: str, bands: int, rows: int) -> DataFrame:
@@ -69,26 +75,36 @@ def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' bags overlap enough."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The pairs (a, b) whose texts' bags overlap enough.
+
+    The members a of a leader b are dealt over blocks. A task reads the leader's text once for each block and then
+    the members pass by in slices of bounded size.
+    """
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = math.isqrt(pairs.count()) + 1
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).alias("s"))
+    upto = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    cut = salted.groupBy("b", "s").agg(F.count("*").alias("n")).select("b", "s", F.floor((F.sum("n").over(upto) - 1) / block_rows).alias("block"))
+    members = salted.join(cut, ["b", "s"]).select("b", "block", F.lit(1).alias("side"), F.col("a").alias("node"))
+    sides = members.unionByName(members.select("b", "block", F.lit(0).alias("side"), F.col("b").alias("node")).distinct())
+    dealt = sides.join(texts.select("node", "text"), "node").repartition(spread, "b", "block").sortWithinPartitions("b", "block", "side")
 
     def check(batches):
-        last, bag = None, None
+        bag = None
         for batch in batches:
-            for part in slices(batch, "text_a"):
-                keep = []
-                left = _bags(part.column("text_a"))
-                leaders = part.column("b").to_pylist()
-                for k in range(part.num_rows):
-                    text_b = part.column("text_b").slice(k, 1)
-                    if (leaders[k], text_b[0].as_py()) != last:
-                        last, bag = (leaders[k], text_b[0].as_py()), _bags(text_b)[0]
-                    least, most = overlap(left[k], bag)
-                    keep.append(most > 0 and least >= threshold * most - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "text"):
+                bags, sides, leaders = _bags(part.column("text")), part.column("side").to_pylist(), part.column("b")
+                keep = np.zeros(part.num_rows, bool)
+                for k, side in enumerate(sides):
+                    if side == 0:
+                        bag = bags[k]
+                    else:
+                        least, most = overlap(bags[k], bag)
+                        keep[k] = most > 0 and least >= threshold * most - 1e-9
+                yield pa.RecordBatch.from_arrays([part.column("node"), leaders], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return dealt.mapInArrow(check, "a bigint, b bigint")
 
 
 def block_overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -125,26 +141,22 @@ def block_overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray,
     return total
 
 
-def family_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Links between members of different components in one bucket: (a, b), a star for each local group."""
+def group_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, threshold: float, block_rows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links between members of different components that share a leader's buckets: (a, b), a star for each local group."""
     spark = crowded.sparkSession
-    placed = stored(crowded.join(joined, crowded.rep == joined.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("leader")).where("low != high")
-    rows = stored(placed.join(mixed.select("bucket", "leader"), "bucket").select("rep", "component", "leader").distinct(), "mixed")
-    families = connected_components(rows.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    named = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = stored(rows.select("rep", "component").distinct().join(named, "rep").select("rep", "family", "component"), "members")
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
-    large = F.col("n") >= block_rows
-    # Blocks: a large component's own, or those that a family's small components share.
-    share = sizes.groupBy("family").agg(F.sum(F.when(~large, F.col("n")).otherwise(0)).alias("small"))
-    kinds = sizes.join(share, "family").select(
-        "family",
-        "component",
-        F.when(large, F.col("component")).alias("own"),
-        F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / block_rows).cast("bigint").alias("parts"),
-    )
-    cut = members.join(kinds, ["family", "component"]).select("rep", "family", "own", F.xxhash64("family", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    placed = stored(crowded.join(joined, crowded.rep == joined.node, "left").select("bucket", "rep", "leader", F.coalesce("component", "rep").alias("component")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    rows = placed.join(mixed, "bucket").select(F.col("leader").alias("family"), "rep", "component").distinct()
+    members = stored(rows.join(texts.select(F.col("node").alias("rep"), "bytes"), "rep").withColumn("s", F.pmod(F.xxhash64("rep"), F.lit(SALTS))), "members")
+    runs = members.groupBy("family", "component", "s").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(n / block_rows), F.ceil(size / block_bytes))
+    sizes = runs.groupBy("family", "component").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).withColumn("large", parts(F.col("n"), F.col("bytes")) > 1)
+    # Blocks: a large component's own, or those that a group's small components share.
+    small = sizes.where("not large").groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    kinds = sizes.where("large").select("family", "component", F.col("component").alias("own"), parts(F.col("n"), F.col("bytes")).alias("parts"))
+    shared = sizes.where("not large").select("family", "component").join(small.select("family", F.lit(None).cast("bigint").alias("own"), parts(F.col("n"), F.col("bytes")).alias("parts")), "family")
+    of_run = runs.select("family", "component", "s").join(kinds.unionByName(shared), ["family", "component"])
+    cut = members.join(of_run, ["family", "component", "s"]).select("rep", "family", "own", F.xxhash64("family", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("rep", F.lit(1)), "parts")).alias("block"))
     cut = stored(cut, "cut")
     blocks = cut.select("family", "own", "block").distinct()
     other = blocks.select(F.col("family"), F.col("own").alias("own2"), F.col("block").alias("block2"))
@@ -173,7 +185,7 @@ def family_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, thresh
         return pa.table([rep[order[moved]], rep[order[root[moved]]]], schema=schema)
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartitionByRange(spread, "task").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
+    return dealt.repartition(spread, "task").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = BAND_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -187,13 +199,15 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     source = df.select(F.col(id_column).cast("bigint").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The same plan at every size: what the broadcast of a short list saves would be gone where the list is long.
-    texts = stored(source.join(nodes.hint("merge"), "node"), "texts")
-    near = stored(verify(pairs, texts, threshold), "near")
-    joined = stored(connected_components(near), "joined")
-    more = stored(family_links(crowded.select("bucket", "rep"), joined, texts, threshold, block_rows), "more")
-    classes = connected_components(near.unionByName(more))
-    of_digest = unique.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    named = signed.select("doc_id", "digest").join(of_digest, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    texts = stored(source.join(nodes.hint("merge"), "node").withColumn("bytes", F.octet_length("text")), "texts")
+    joined = stored(connected_components(verify(pairs, texts, threshold, block_rows)), "joined")
+    more = group_links(crowded, joined, texts, threshold, block_rows)
+    classes = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # A text's class comes to each (digest, salt) of its documents, so that a text of very many is not one key.
+    salted = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("s"))
+    of_digest = unique.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    of_run = salted.select("digest", "s").distinct().join(of_digest, "digest")
+    named = salted.join(of_run, ["digest", "s"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     nameless = df.where(F.col(id_column).isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"))
     every = named.unionByName(nameless)
     return every.select(F.col("doc_id").alias(id_column), "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

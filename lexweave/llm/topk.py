@@ -1,17 +1,21 @@
 """Exact top-k inner-product search: a ball tree for each shard, branch and bound with a shared kth score.
 
 Vectors become integers floor(1024 * x), so that scores are exact. Candidates are dealt into shards of bounded
-size and queries into blocks of bounded size; a task holds one shard and one block and builds the shard's ball
-tree. A node with centre c and radius r cannot hold a score above q.c + |q| r; a query walks to the child with
-the higher bound first and skips nodes whose bound is below the kth score that it holds. The first shard is
-searched first; the kth scores found there start the search in all the others.
+size; a task reads a shard's rows, builds its ball tree once, and then reads the queries, block by block. A node
+with centre c and radius r cannot hold a score above q.c + |q| r; a query walks to the child with the higher
+bound first and skips nodes whose bound is below the kth score that it holds. Shards are searched in rounds, the
+first alone and each later round GROWTH times as many as there were before it; the kth scores found so far start
+the search of the next round.
 
-Queries against candidates is a stated query set against all rows, in blocks: work grows with their product.
+Queries against candidates is a stated query set against all rows, in blocks: work grows with their product, less
+what the bounds skip. Vectors in clusters let most nodes be skipped. Vectors that point evenly in all directions
+of a high dimension let none: a ball round any few of them reaches as far as the kth score, and the search is a
+blocked product with all rows.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do vectors of
 different lengths against each other; ties go to the smaller id; a query never returns its own id; the rows
 of a repeated id are candidates each, and as a query the id counts once, with its least vector; fewer than k
-candidates give fewer rows; an empty table gives no row. Scores are exact up to the range of a long; a vector
+candidates give fewer rows; rows without an id take no part; an empty table gives no row. Scores are exact up to the range of a long; a vector
 with a component beyond 2**25 / 1024 is compared in Python integers and its scores are clipped to that range.
 """
 
@@ -30,6 +34,10 @@ SCALE = 1024
 LEAF_ROWS = 48
 SHARD_ROWS = 16384
 BLOCK_ROWS = 1024
+#: Tasks of a round, at most.
+MOST_TASKS = 32768
+#: Shards of a round for each shard searched before it.
+GROWTH = 3
 LEAST = np.iinfo(np.int64).min
 
 
@@ -123,49 +131,84 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(limit.max, max(limit.min + 1, sum(x * y for x, y in zip(p, q)))) for q in whole[1]] for p in whole[0]], np.int64).reshape(len(a), len(b))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 0))
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _searched(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of each (shard, block) task, from at or above the query's floor."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _searched(shards: DataFrame, queries: DataFrame, k: int, block_rows: int, tasks: int) -> DataFrame:
+    """The k best of each (query, shard), from at or above the query's floor.
 
-    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        own = right.column("query_id").to_numpy()
-        tree = BallTree(_matrix(left.column("vector")))
-        search = Search(tree, left.column("vec_id").to_numpy(), _matrix(right.column("vector")), own, k, right.column("floor").to_numpy())
-        keep = (search.scores > LEAST) & (search.scores >= right.column("floor").to_numpy()[:, None])
-        rows = np.nonzero(keep)
-        return pa.table([own[rows[0]], search.found[rows], search.scores[rows]], schema=schema)
+    A task's rows come in order of shard, candidates before queries: candidates are held until the first query of
+    their shard, queries pass by in blocks.
+    """
+    columns = ["dims", "shard", "asks", "vec_id", "vector", "floor"]
+    rows = shards.select("dims", "shard", F.lit(False).alias("asks"), "vec_id", "vector", F.lit(0).cast("bigint").alias("floor")).unionByName(
+        queries.select("dims", "shard", F.lit(True).alias("asks"), F.col("query_id").alias("vec_id"), "vector", "floor")
+    )
 
-    keys = ["dims", "shard", "block"]
-    return shards.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(task, "query_id bigint, vec_id bigint, score bigint")
+    def search(batches):
+        key, held, tree, ids = None, [], None, None
+        for batch in batches:
+            dims, shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dims", "shard", "asks"))
+            cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if begin == end:
+                    continue
+                part = batch.slice(begin, end - begin)
+                if key != (dims[begin], shard[begin]):
+                    key, held, tree = (dims[begin], shard[begin]), [], None
+                if not asks[begin]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if tree is None:
+                    whole = pa.Table.from_batches(held)
+                    tree, ids = BallTree(_matrix(whole.column("vector"))), whole.column("vec_id").to_numpy()
+                for at in range(0, part.num_rows, block_rows):
+                    block = part.slice(at, block_rows)
+                    own, floor = block.column("vec_id").to_numpy(), block.column("floor").to_numpy()
+                    found = Search(tree, ids, _matrix(block.column("vector")), own, k, floor)
+                    hits = np.nonzero((found.scores > LEAST) & (found.scores >= floor[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hits[0]]), pa.array(found.found[hits]), pa.array(found.scores[hits])], names=["query_id", "vec_id", "score"])
+
+    dealt = rows.select(*columns).repartition(tasks, "dims", "shard").sortWithinPartitions("dims", "shard", "asks")
+    return dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_inner_products(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query's k highest scores among all rows but its own: query_id, rank (from 1), vec_id, score."""
+    spark = df.sparkSession
     whole = df.where(finite(F.col(vector)) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("bigint").alias("vec_id"),
         F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.size(vector).alias("dims"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows, asking = whole.agg(F.count("*"), F.count_if("asks")).first()
-    shards = max(16, math.ceil(rows / shard_rows))
-    blocks = max(1, math.ceil(asking / block_rows))
-    salt = F.lit("block")
-    queries = whole.where("asks").groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("v")).select(F.col("vec_id").alias("query_id"), "v.vector", "v.dims", F.pmod(F.xxhash64("vec_id", salt), F.lit(blocks)).cast("int").alias("block"))
-    queries = stored(queries, "queries")
-    dealt = whole.select("vec_id", "vector", "dims", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    first = stored(_searched(dealt.where("shard = 0"), queries.select("query_id", "vector", "dims", "block", F.lit(0).alias("shard"), F.lit(int(LEAST)).alias("floor")), k), "first")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    asked = queries.join(kth, "query_id", "left").select("query_id", "vector", "dims", "block", F.coalesce("floor", F.lit(int(LEAST))).alias("floor"), F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"))
-    rest = _searched(dealt.where("shard > 0"), asked, k)
+    # Rows go to shards by their number, whatever their id: a repeated id is dealt over all of them.
+    whole = stored(whole, "candidates")
+    shards = max(16, math.ceil(whole.count() / shard_rows))
+    candidates = whole.select("vec_id", "vector", "dims", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+    queries = stored(whole.where("asks").groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("v")).select(F.col("vec_id").alias("query_id"), "v.vector", "v.dims"), "queries")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(rest).select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best, searched = None, 0
+    while searched < shards:
+        upto = min(shards, max(1, (GROWTH + 1) * searched))
+        asked = queries.select("*", F.lit(int(LEAST)).alias("floor"))
+        if best is not None:
+            kth = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
+            asked = queries.join(kth, "query_id", "left").select("query_id", "vector", "dims", F.coalesce("least", F.lit(int(LEAST))).alias("floor"))
+        asked = asked.select("*", F.explode(F.sequence(F.lit(searched), F.lit(upto - 1))).alias("shard"))
+        found = _searched(candidates.where((F.col("shard") >= searched) & (F.col("shard") < upto)), asked, k, block_rows, min(max(spread, upto - searched), MOST_TASKS))
+        merged = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
+        best = merged.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        searched = upto
+        if searched < shards:
+            best = stored(best, "best")
+    return best

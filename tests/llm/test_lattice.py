@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from lexweave.llm import lattice
@@ -18,16 +19,7 @@ def model():
 
 def every_segmentation(vocabulary, text):
     """Probability of a marked word by enumeration from the left."""
-    pieces = {}
-
-    def walk(node, path):
-        for b, below in node.items():
-            if b == -1:
-                pieces[bytes(path)] = below
-            else:
-                walk(below, [*path, b])
-
-    walk(vocabulary.trie, [])
+    pieces = dict(zip(vocabulary.pieces, vocabulary.weights))
 
     def total(at):
         if at == len(text):
@@ -41,11 +33,63 @@ def every_segmentation(vocabulary, text):
     return total(0)
 
 
-def test_the_forward_recursion_sums_all_segmentations(model):
+WORDS = [b"a", b"then", b"xyz1", "é".encode(), "日".encode(), b"tion", b""]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_the_forward_recursion_sums_all_segmentations(model, few, monkeypatch):
+    monkeypatch.setattr(lattice, "FEW_WORDS", few)
     rng = np.random.default_rng(1)
     vocabulary = lattice.Vocabulary(model, rng.integers(0, 50, 32000).astype(float))
-    for word in [b"a", b"then", b"xyz1", "é".encode(), "日".encode(), b"tion"]:
-        assert vocabulary.marginal(word) == pytest.approx(math.log(every_segmentation(vocabulary, lattice.SPACE_PIECE + word)))
+    for word, got in zip(WORDS, vocabulary.marginals(WORDS)):
+        assert got == pytest.approx(math.log(every_segmentation(vocabulary, lattice.SPACE_PIECE + word)))
+
+
+def test_both_ways_through_long_words_agree(model, monkeypatch):
+    rng = np.random.default_rng(2)
+    vocabulary = lattice.Vocabulary(model, rng.integers(0, 50, 32000).astype(float))
+    words = [bytes(rng.integers(97, 123, 500).astype(np.uint8)) for _ in range(3)] + [b"ab" * 2000]
+    alone = vocabulary.marginals(words)
+    monkeypatch.setattr(lattice, "FEW_WORDS", 0)
+    monkeypatch.setattr(lattice, "HELD_POSITIONS", 1000)
+    assert vocabulary.marginals(words) == pytest.approx(alone)
+
+
+def test_a_documents_score_is_the_sum_over_all_its_segmentations(spark, model):
+    texts = ["The cat sat", "the the", "", None, "é 日 zq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice.score(df, F.lit(True), model).collect()}
+    # The same piece probabilities by plain counting.
+    tool = sentencepiece.SentencePieceProcessor(model_proto=model)
+    counts = Counter(w for t in texts for w in lattice.words_of((t or "").encode()))
+    found = np.zeros(tool.get_piece_size())
+    for k in range(lattice.ROUNDS + 1):
+        if k:
+            tool = sentencepiece.SentencePieceProcessor(model_proto=lattice.rescored(model, np.log((found + lattice.PIECE_SMOOTHING) / (found.sum() + lattice.PIECE_SMOOTHING * len(found)))))
+        found = np.zeros(tool.get_piece_size())
+        for w, n in counts.items():
+            for i in tool.encode(w.decode()):
+                found[i] += n
+    vocabulary = lattice.Vocabulary(model, found, len(texts))
+    for i, t in enumerate(texts):
+        words = lattice.words_of((t or "").encode())
+        assert got[i] == pytest.approx((sum(math.log(every_segmentation(vocabulary, lattice.SPACE_PIECE + w)) for w in words) + vocabulary.end) / math.log(10))
+
+
+def test_blocks_do_not_depend_on_how_files_are_split(spark, model, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learns = F.col("doc_id") % 3 != 0
+    expected = {r.doc_id: r.score for r in lattice.score(df, learns, model).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    blocks = [Counter(r[0] for r in df.select(lattice._blocks(df, 50, 4)).collect())]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        blocks.append(Counter(r[0] for r in df.select(lattice._blocks(df, 50, 4)).collect()))
+        again = {r.doc_id: r.score for r in lattice.score(df, learns, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert blocks[0] == blocks[1] and len(blocks[0]) > 1
+    assert again == pytest.approx(expected)
 
 
 def test_base_scores_counts_and_odd_texts(spark, model):
@@ -63,7 +107,7 @@ def test_base_scores_counts_and_odd_texts(spark, model):
         assert got[i].n_tokens == len(words) + 1 and got[i].train_tokens == n
         assert got[i].n_known == sum(counts[w] > 0 for w in words) + 1
         assert got[i].base_score == pytest.approx(sum(log(counts[w]) for w in words) + log(len(train)))
-        assert got[i].score <= got[i].closed_score < 0
+        assert got[i].mixed_score <= got[i].closed_score < 0 and got[i].score < 0
     assert got[6].score == got[8].score and got[2].score == got[3].score
 
 

@@ -2,8 +2,9 @@
 
 The text is normalised here as the model's own specification says: at each position the longest prefix in
 the compiled character map is replaced, white space is escaped, a dummy prefix is put in front; every byte
-of the normalised text remembers the source byte that it came from. The library encodes the text; the byte
-lengths of the pieces then tile the normalised text, and the alignment projects them to source byte spans.
+of the normalised text remembers the source byte that it came from. That normalised text is what is encoded, by
+the library's segmentation with a specification that changes nothing more; the bytes of the pieces are then the
+normalised text, end to end, and the alignment projects every piece to its source byte span.
 
 Defined results: a null text counts as an empty one; an empty text gives the end id alone and no span; texts
 of any length are encoded whole; repeated rows and ties give a row each; an empty table gives no row; columns
@@ -25,7 +26,7 @@ from .common import slices, text_buffers
 SPACE_PIECE = "▁".encode()
 
 
-def _fields(message: bytes):
+def fields(message: bytes):
     """Fields of a protocol buffer: number and value (int or bytes)."""
     at = 0
 
@@ -59,6 +60,19 @@ def _fields(message: bytes):
             raise ValueError(f"wire type {kind} in a model file")
 
 
+def varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def field(number: int, body: bytes) -> bytes:
+    """A bytes field of a protocol buffer."""
+    return varint(number << 3 | 2) + varint(len(body)) + body
+
+
 #: Where the model file is; None asks the installed package of public tokenizers.
 MODEL_PATH: str | None = None
 
@@ -112,29 +126,29 @@ class Normaliser:
     """Normalised bytes with, for each of them and for the end, the source byte it came from."""
 
     def __init__(self, model: bytes):
-        spec = next((v for n, v in _fields(model) if n == 3), b"")
-        found = dict(_fields(spec))
+        spec = next((v for n, v in fields(model) if n == 3), b"")
+        found = dict(fields(spec))
         self.map = CharacterMap(found.get(2, b""))
         self.dummy_prefix = bool(found.get(3, 1))
         self.strip = bool(found.get(4, 1))
         self.escape = bool(found.get(5, 1))
-        trainer = next((dict(_fields(v)) for n, v in _fields(model) if n == 2), {})
+        trainer = next((dict(fields(v)) for n, v in fields(model) if n == 2), {})
         self.suffix = bool(trainer.get(24, 0))
 
-    def __call__(self, text: np.ndarray) -> tuple[bytes | None, np.ndarray]:
-        """The first value is None on the plain path, where only lengths matter."""
+    def __call__(self, text: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The normalised bytes, and for each of them and for the end its source byte."""
         if self.map or self.strip or self.suffix or not self.escape:
             return self._general(text.tobytes())
-        return None, self._plain(text)
+        return self._plain(text)
 
-    def _plain(self, text: np.ndarray) -> np.ndarray:
+    def _plain(self, text: np.ndarray) -> tuple[bytes, np.ndarray]:
         """No character map: a byte stands for itself, a space for the three bytes of its escape."""
         n = len(text)
         if not n:
-            return np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int64)
+        head = SPACE_PIECE * self.dummy_prefix
         source = np.repeat(np.arange(n), np.where(text == 32, 3, 1))
-        head = np.zeros(3 * self.dummy_prefix, np.int64)
-        return np.concatenate([head, source, np.array([n])])
+        return head + text.tobytes().replace(b" ", SPACE_PIECE), np.concatenate([np.zeros(len(head), np.int64), source, np.array([n])])
 
     def _general(self, text: bytes) -> tuple[bytes, np.ndarray]:
         mark = SPACE_PIECE if self.escape else b" "
@@ -181,13 +195,24 @@ class Normaliser:
         return bytes(out), np.array([*source, end], dtype=np.int64)
 
 
+#: A normalizer_spec that changes nothing: the name, no prefix, no stripping, no escaping.
+IDENTITY_SPEC = field(1, b"identity") + b"\x18\x00\x20\x00\x28\x00"
+
+
+def _segmenter(model: bytes) -> bytes:
+    """The model without its normaliser (and its self test), for texts that are normalised already."""
+    kept = [field(n, v) for n, v in fields(model) if n not in (3, 4)]
+    return b"".join(kept) + field(3, IDENTITY_SPEC)
+
+
 class Codec:
-    """A model with the library's processor, its normaliser and the byte lengths of its pieces."""
+    """A model with the library's processors, its own normaliser and the bytes of its pieces."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=_segmenter(model))
         self.normaliser = Normaliser(model)
         size = self.processor.get_piece_size()
         self.bytes = [b""] * size
@@ -199,28 +224,31 @@ class Codec:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.unknown = self.processor.unk_id()
 
+    def encode(self, texts: list[np.ndarray], end_id: bool = True) -> list[tuple[list[int], np.ndarray]]:
+        """Ids and source byte spans of texts given by their bytes."""
+        normal = [self.normaliser(t) for t in texts]
+        coded = self.segmenter.encode([whole.decode() for whole, _ in normal], add_eos=end_id, num_threads=1)
+        return [(ids, self.aligned(ids, whole, source)) for ids, (whole, source) in zip(coded, normal)]
+
     def spans(self, text: np.ndarray, ids: list[int]) -> np.ndarray:
-        """Source byte span (start, end) of every id; control ids have an empty span at their place.
+        """Source byte span (start, end) of every id of a text's own encoding."""
+        return self.aligned(ids, *self.normaliser(text))
+
+    def aligned(self, ids: list[int], whole: bytes, source: np.ndarray) -> np.ndarray:
+        """Source byte span of every id over a normalised text; control ids have an empty span at their place.
 
         The bytes of the pieces are the normalised text, or it is a ValueError.
         """
-        whole, source = self.normaliser(text)
-        if whole is None:
-            whole = (SPACE_PIECE * (self.normaliser.dummy_prefix and len(text) > 0)) + text.tobytes().replace(b" ", SPACE_PIECE)
         pieces = [self.bytes[i] for i in ids]
         lengths = self.lengths[np.asarray(ids, np.int64)]
-        rest = len(source) - 1 - int(lengths.sum())
-        if rest:
-            unknown = [k for k, i in enumerate(ids) if i == self.unknown]
-            if not unknown:
-                raise ValueError("the pieces do not tile the normalised text")
-            parts = self.processor.encode(text.tobytes().decode(), out_type=str)
-            for k in unknown:
+        if self.unknown in ids:
+            parts = self.segmenter.encode(whole.decode(), out_type=str)
+            for k in [k for k, i in enumerate(ids) if i == self.unknown]:
                 pieces[k] = parts[k].encode()
-            lengths[unknown] = [len(pieces[k]) for k in unknown]
-        ends = np.cumsum(lengths)
-        if len(ends) and b"".join(pieces) != whole:
+                lengths[k] = len(pieces[k])
+        if b"".join(pieces) != whole:
             raise ValueError("the pieces do not tile the normalised text")
+        ends = np.cumsum(lengths)
         return np.stack([source[ends - lengths], source[ends]], axis=1)
 
 
@@ -270,12 +298,10 @@ def encode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...
         for batch in batches:
             for part in slices(batch, text):
                 raw, at = text_buffers(part.column(text))
-                texts = part.column(text).fill_null("").to_pylist()
-                coded = tool.processor.encode(texts, add_eos=end_id, num_threads=1)
-                decoded = tool.processor.decode(coded) if wanted & {"decoded", "decoded_sha256"} else [None] * len(coded)
+                coded = tool.encode([raw[a:b] for a, b in zip(at, at[1:])], end_id)
+                decoded = tool.processor.decode([ids for ids, _ in coded]) if wanted & {"decoded", "decoded_sha256"} else [None] * len(coded)
                 columns: dict[str, list] = {c: [] for c in outputs}
-                for k, ids in enumerate(coded):
-                    spans = tool.spans(raw[at[k] : at[k + 1]], ids)
+                for k, (ids, spans) in enumerate(coded):
                     made = {"ids": ids, "decoded": decoded[k], "n_tokens": len(ids)}
                     if "starts" in wanted:
                         made["starts"] = spans[:, 0].astype(np.int32)

@@ -53,6 +53,44 @@ def test_character_maps_give_the_librarys_normal_form(rule):
         assert len(source) == len(normal) + 1 and (np.diff(source) >= 0).all()
 
 
+def with_rule(model, rule):
+    """The model with another normaliser."""
+    made = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+    spec = next(v for n, v in pieces.fields(made.serialized_model_proto()) if n == 3)
+    return b"".join(pieces.field(n, v) for n, v in pieces.fields(model) if n != 3) + pieces.field(3, spec)
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_a_model_with_a_character_map_encodes_as_the_library_and_spans_follow_the_map(spark, model, rule):
+    mapped = with_rule(model, rule)
+    texts = ["ﬁne  ＡＢＣ", " ㌔ x ", "é è", "½ ™ ①", "plain text", "", "   ", "カ゛ﾊﾟ", "tab\there", None]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), mapped).collect()
+    library = sentencepiece.SentencePieceProcessor(model_proto=mapped)
+    normaliser = pieces.Normaliser(mapped)
+    tool = pieces.Codec(mapped)
+    for r in rows:
+        text = (texts[r.doc_id] or "").encode()
+        assert r.ids == library.encode(text.decode(), add_eos=True)
+        # Brute force: a byte of the normalised text came from the first source byte whose prefix it is not yet in.
+        normal, source = normaliser._general(text)
+        at = 0
+        for i, a, b in zip(r.ids, r.starts, r.ends):
+            n = len(tool.bytes[i])
+            assert (a, b) == (source[at], source[at + n])
+            at += n
+        assert at == len(normal)
+
+
+def test_every_text_of_a_table_has_the_librarys_ids(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in pieces.encode(docs, model, outputs=("ids", "starts", "ends")).collect():
+        text = (texts[r.doc_id] or "").encode()
+        assert r.ids == library.encode(text.decode(), add_eos=True)
+        assert b"".join(text[a:b] for a, b in zip(r.starts, r.ends) if a < b).replace(b" ", b"") == text.replace(b" ", b"") or any(library.is_byte(i) for i in r.ids)
+
+
 def test_an_empty_table_gives_no_row(spark, model):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 

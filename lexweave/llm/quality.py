@@ -5,10 +5,11 @@ those of the line after. A chain of two labels, bad and good, scores lines by th
 labels by a transition table. It is trained on labelled documents, every line having its document's label.
 A document's score is the mean of its lines' forward-backward marginals of "good", weighted by their bytes.
 
-The training rows are a bounded sample: at most SAMPLE_ROWS labelled documents, the first by a hash of the id.
-Scoring reads every line of every text.
+The training rows are a bounded sample: labelled documents in order of a hash of the id, at most SAMPLE_ROWS of
+them and SAMPLE_BYTES of text. Scoring reads every line of every text.
 
-Defined results: a null text, an empty text and one of white space alone score 0; texts and lines of any
+Defined results: a null text, an empty text and one of white space alone have no line; they all score
+good / (good + bad + 1) with the numbers of such texts among all labelled rows, so 0 where there is none; texts and lines of any
 length are read whole; labels that are null or of documents that do not exist are passed over, of repeated
 labels the least counts; without training rows of both labels every score is the share of good rows (or 0.5);
 repeated rows give a row each; an empty table gives no row; only the named columns are read.
@@ -20,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACE, column_of, slices, span_hashes, text_buffers, word_spans
 
-SAMPLE_ROWS = 4000
+#: Rows and bytes of text that the field is trained on, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
 #: Lines, with padding, that forward and backward passes hold at a time.
 PADDED_LINES = 200_000
 THRESHOLD = 0.7
@@ -153,14 +155,17 @@ def _padded(text: np.ndarray):
             yield np.where(mask, first[part][:, None] + place, 0), mask
 
 
-def _logsum(a: np.ndarray) -> np.ndarray:
-    top = a.max(-1, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(-1, keepdims=True)))[..., 0]
+def _share(odds: np.ndarray) -> np.ndarray:
+    """Probabilities of log odds."""
+    return np.exp(-np.logaddexp(0, -odds))
 
 
 @dataclass
 class Chain:
-    """Weights of the field: of line features (for good), of neighbouring labels and of the first label."""
+    """Weights of the field: of line features (for good), of neighbouring labels and of the first label.
+
+    constant: the score of every text with a line, where there was nothing to learn from; blank: that of texts without.
+    """
 
     weights: np.ndarray
     transition: np.ndarray
@@ -168,36 +173,46 @@ class Chain:
     mean: np.ndarray
     scale: np.ndarray
     constant: float | None = None
+    blank: float = 0.0
 
     def emissions(self, text: np.ndarray, own: np.ndarray) -> np.ndarray:
         return with_neighbours(text, (own - self.mean) / self.scale) @ self.weights
 
-    def pass_both_ways(self, score: np.ndarray, mask: np.ndarray):
-        """Marginals of good, expected transitions and first labels, and log normalisers of padded chains."""
-        n, steps = score.shape
-        emit = np.stack([np.zeros_like(score), score], axis=2)
-        forward = np.zeros((n, steps, 2))
-        forward[:, 0] = emit[:, 0] + self.start
+    def odds(self, score: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of padded chains: the log odds of good given the lines up to each line, and what the lines after it add."""
+        (bb, bg), (gb, gg) = self.transition
+        forward, backward = np.zeros_like(score), np.zeros_like(score)
+        steps = score.shape[1]
+        forward[:, 0] = self.start[1] - self.start[0] + score[:, 0]
         for t in range(1, steps):
-            new = _logsum((forward[:, t - 1, :, None] + self.transition[None]).swapaxes(1, 2)) + emit[:, t]
-            forward[:, t] = np.where(mask[:, t, None], new, forward[:, t - 1])
-        normal = _logsum(forward[:, -1])
-        backward = np.zeros((n, steps, 2))
-        pairs = np.zeros((2, 2))
+            came = forward[:, t - 1]
+            forward[:, t] = np.logaddexp(bg, came + gg) - np.logaddexp(bb, came + gb) + score[:, t]
         for t in range(steps - 2, -1, -1):
-            on = mask[:, t + 1, None]
-            new = _logsum(self.transition[None] + (emit[:, t + 1] + backward[:, t + 1])[:, None, :])
-            joint = forward[:, t, :, None] + self.transition[None] + (emit[:, t + 1] + backward[:, t + 1])[:, None, :] - normal[:, None, None]
-            pairs += np.where(on[:, :, None], np.exp(np.minimum(joint, 0)), 0).sum(0)
-            backward[:, t] = np.where(on, new, 0)
-        marginal = np.exp(np.minimum(0, forward + backward - normal[:, None, None]))
-        return marginal[:, :, 1], pairs, marginal[:, 0].sum(0), normal
+            ahead = score[:, t + 1] + backward[:, t + 1]
+            backward[:, t] = np.where(mask[:, t + 1], np.logaddexp(gb, ahead + gg) - np.logaddexp(bb, ahead + bg), 0)
+        return forward, backward
+
+    def expectations(self, score: np.ndarray, mask: np.ndarray):
+        """Marginals of good, expected transitions and first labels, and the sum of log normalisers of padded chains."""
+        (bb, bg), (gb, gg) = self.transition
+        forward, backward = self.odds(score, mask)
+        marginal = _share(forward + backward)
+        inner = mask[:, 1:]
+        came, ahead = forward[:, :-1][inner], (score[:, 1:] + backward[:, 1:])[inner]
+        weights = np.stack([np.full(len(came), bb), bg + ahead, came + gb, came + gg + ahead])
+        weights = np.exp(weights - weights.max(0))
+        pairs = (weights / weights.sum(0)).sum(1).reshape(2, 2)
+        first = marginal[:, 0].sum()
+        last = forward[np.arange(len(mask)), mask.sum(1) - 1]
+        normal = len(mask) * self.start[0] + np.logaddexp(bb, came + gb).sum() + np.logaddexp(0, last).sum()
+        return marginal, pairs, np.array([len(mask) - first, first]), normal
 
     def marginals(self, text: np.ndarray, own: np.ndarray) -> np.ndarray:
         score = self.emissions(text, own)
         good = np.zeros(len(text))
         for rows, mask in _padded(text):
-            good[rows[mask]] = self.pass_both_ways(score[rows], mask)[0][mask]
+            forward, backward = self.odds(score[rows], mask)
+            good[rows[mask]] = _share((forward + backward)[mask])
         return good
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -206,11 +221,49 @@ class Chain:
         n = len(at) - 1
         total = np.bincount(text, weights=size, minlength=n)
         good = np.bincount(text, weights=size * (self.marginals(text, own) if self.constant is None else self.constant), minlength=n)
-        return np.clip(np.where(total > 0, good / np.maximum(total, 1), 0.0), 0, 1)
-
-
-def train(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Chain:
-    """Maximises the conditional likelihood of the documents' label sequences (Adam, weights decayed)."""
+        return np.clip(np.where(total > 0, good / np.maximum(total, 1), self.blank), 0, 1)
+
+
+def climb(slope_of, at: np.ndarray, rounds: int, memory: int = 8, least: float = 1e-5) -> np.ndarray:
+    """The maximum of a smooth concave function by limited-memory quasi-Newton steps with backtracking.
+
+    slope_of gives value and gradient. It ends after so many rounds, or where no part of the gradient exceeds least.
+    """
+    value, slope = slope_of(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(slope).max() < least:
+            break
+        way, used = slope.copy(), []
+        for step, bend in reversed(moves):
+            part = step @ way / (step @ bend)
+            way -= part * bend
+            used.append(part)
+        if moves:
+            step, bend = moves[-1]
+            way *= step @ bend / (bend @ bend)
+        else:
+            way /= max(1.0, np.abs(slope).max())
+        for (step, bend), part in zip(moves, reversed(used)):
+            way += (part - bend @ way / (step @ bend)) * step
+        size, rise = 1.0, slope @ way
+        while True:
+            new = at + size * way
+            new_value, new_slope = slope_of(new)
+            if new_value >= value + 1e-4 * size * rise or size < 1e-8:
+                break
+            size /= 2
+        if new_value <= value:
+            break
+        step, bend = new - at, slope - new_slope
+        if step @ bend > 1e-12:
+            moves = [*moves, (step, bend)][-memory:]
+        at, value, slope = new, new_value, new_slope
+    return at
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 60, decay: float = 1e-3) -> Chain:
+    """Maximises the conditional likelihood of the documents' label sequences, less decay / 2 of the squared weights."""
     parts = [(np.zeros(0, np.int64), np.zeros((0, len(FEATURES))))]
     done = 0
     for part in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())}), "text"):
@@ -231,42 +284,49 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, rate: float =
     inputs = with_neighbours(text, (own - mean) / chain.scale)
     groups = list(_padded(text))
     documents = len(np.unique(text))
+    # Every line of a document has its label, so that its labels change nowhere.
     gold_pairs, gold_start = np.zeros((2, 2)), np.zeros(2)
     for rows, mask in groups:
-        label = gold[rows]
-        gold_start += [np.sum(label[:, 0] == 0), np.sum(label[:, 0] == 1)]
-        for value in (0, 1):
-            gold_pairs[value, value] += ((label[:, 1:] == value) & mask[:, 1:]).sum()
-    state = [np.zeros(width + 6), np.zeros(width + 6)]
-    for step in range(1, rounds + 1):
+        label = gold[rows[:, 0]].astype(int)
+        gold_start += np.bincount(label, minlength=2)
+        gold_pairs += np.diag(np.bincount(label, mask[:, 1:].sum(1), minlength=2))
+
+    def slope_of(at: np.ndarray) -> tuple[float, np.ndarray]:
+        chain.weights, chain.transition, chain.start = at[:width], at[width : width + 4].reshape(2, 2), at[width + 4 :]
         score = inputs @ chain.weights
         good = np.zeros(len(text))
         pairs, start = np.zeros((2, 2)), np.zeros(2)
+        value = gold @ score + (gold_pairs * chain.transition).sum() + gold_start @ chain.start
         for rows, mask in groups:
-            marginal, own_pairs, own_start, _ = chain.pass_both_ways(score[rows], mask)
+            marginal, own_pairs, own_start, normal = chain.expectations(score[rows], mask)
             good[rows[mask]] = marginal[mask]
             pairs += own_pairs
             start += own_start
+            value -= normal
         slope = np.concatenate([inputs.T @ (gold - good), (gold_pairs - pairs).ravel(), gold_start - start]) / documents
-        slope -= decay * np.concatenate([chain.weights, chain.transition.ravel(), chain.start])
-        state[0] = 0.9 * state[0] + 0.1 * slope
-        state[1] = 0.99 * state[1] + 0.01 * slope**2
-        move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        chain.weights = chain.weights + move[:width]
-        chain.transition = chain.transition + move[width : width + 4].reshape(2, 2)
-        chain.start = chain.start + move[width + 4 :]
+        return value / documents - decay / 2 * (at @ at), slope - decay * at
+
+    best = climb(slope_of, np.zeros(width + 6), rounds)
+    chain.weights, chain.transition, chain.start = best[:width], best[width : width + 4].reshape(2, 2), best[width + 4 :]
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Trains on at most sample_rows labelled documents, the first by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Trains on at most sample_rows labelled documents and sample_bytes of their texts, the first by a hash of the id."""
     spark = docs.sparkSession
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(label).alias("label"))
     chosen = named.orderBy(F.xxhash64(id_column), id_column).limit(sample_rows).collect()
     few = spark.createDataFrame([(r[0], r[1]) for r in chosen], f"`{id_column}` {labels.schema[id_column].dataType.simpleString()}, label int")
-    rows = docs.select(id_column, F.col(text).alias("text")).join(F.broadcast(few), id_column)  # at most sample_rows rows
-    found = rows.select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(F.xxhash64(id_column), id_column, "text").limit(sample_rows).collect()
-    return train([r.text for r in found], [r.label for r in found])
+    texts = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(few), id_column)  # at most sample_rows rows
+    order = [F.xxhash64(id_column), F.col(id_column), F.col("text")]
+    sample = rows.orderBy(*order).limit(sample_rows)
+    found = sample.select("*", F.sum(F.octet_length("text")).over(Window.orderBy(*order)).alias("upto")).where(F.col("upto") <= sample_bytes).orderBy(*order).collect()  # a window over at most sample_rows rows
+    chain = train([r.text for r in found], [r.label for r in found])
+    blank = texts.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(id_column).join(named, id_column)
+    good, every = blank.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    chain.blank = good / (every + 1)
+    return chain
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

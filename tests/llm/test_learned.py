@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -84,6 +86,68 @@ def test_features_and_odd_texts():
     assert (scores[:3] == 0).all() and ((scores >= 0) & (scores <= 1)).all()
 
 
+def test_the_slope_of_the_likelihood_and_its_maximum():
+    rng = np.random.default_rng(5)
+    texts = ["\n".join("word " * rng.integers(1, 5) + "$" * rng.integers(0, 4) * (k % 2) for _ in range(rng.integers(1, 6))) for k in range(40)]
+    labels = [1 - k % 2 for k in range(40)]
+    seen = []
+    real = quality.climb
+
+    def spy(slope_of, at, rounds):
+        best = real(slope_of, at, rounds)
+        seen.append((slope_of, best))
+        return best
+
+    quality.climb, kept = spy, quality.climb
+    try:
+        quality.train(texts, labels)
+    finally:
+        quality.climb = kept
+    slope_of, best = seen[0]
+    at = rng.normal(size=len(best)) / 10
+    value, slope = slope_of(at)
+    for k in range(0, len(at), 3):
+        step = np.zeros(len(at))
+        step[k] = 1e-5
+        assert slope[k] == pytest.approx((slope_of(at + step)[0] - slope_of(at - step)[0]) / 2e-5, abs=1e-5)
+    assert slope_of(best)[0] > value and np.abs(slope_of(best)[1]).max() < 1e-3
+
+
+def test_texts_without_lines_score_what_their_labels_say(spark):
+    docs = spark.createDataFrame([(k, ["good words here", "$$ %% !!", " \n", None][k % 4]) for k in range(80)], "doc_id long, text string")
+    good = spark.createDataFrame([(k, [1, 0, 1, 1][k % 4]) for k in range(80)] + [(500, 1), (3, None)], "doc_id long, quality int")
+    scored = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, good)).collect()}
+    assert scored[2] == scored[3] == pytest.approx(40 / 41) and scored[0] > 0.7 > scored[1]
+    bad = good.withColumn("quality", good.quality * (good.doc_id % 4 < 2).cast("int"))
+    assert quality.fit(docs, bad).blank == 0.0
+    assert quality.fit(docs.limit(0), good).blank == 0.0 and quality.score(docs.limit(0), quality.fit(docs.limit(0), good)).count() == 0
+
+
+def test_the_training_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x " * 50) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    sizes = []
+    kept = quality.train
+    quality.train = lambda texts, found: sizes.append(len(texts)) or kept(texts, found)
+    try:
+        quality.fit(docs, labels, sample_bytes=450)
+    finally:
+        quality.train = kept
+    assert sizes == [4]
+
+
+def test_many_short_texts_take_little_memory():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([f"short text {k} of {k * 7919 % 997} words {k * 31 % 677}" for k in range(10_000)])})
+    made = list(langid.parts(batch, "text"))
+    assert max(p.num_rows for p in made) <= langid.ROWS and sum(p.num_rows for p in made) == 10_000
+    tracemalloc.start()
+    for part in made[:2]:
+        langid.bundles(part.column("text").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_training_without_both_labels():
     assert quality.train(["a b"], [1], rounds=2).scores(*text_buffers(pa.array(["x y", ""]))).tolist() == [1.0, 0.0]
     assert quality.train([], []).scores(*text_buffers(pa.array(["x y"]))).tolist() == [0.5]

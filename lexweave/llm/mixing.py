@@ -58,13 +58,18 @@ def source_targets(sources: DataFrame, keys: list[str], weights: tuple[int, ...]
     return reached.select(*sources.columns, "weight", F.least(full.cast("double"), F.col("first.level") * F.col("weight")).alias("target"))
 
 
-def systematic_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """Copies of every document in the mix: id, size, source_size, target, copies, taken (copies * size)."""
+def systematic_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, tie: str | None = None) -> DataFrame:
+    """Copies of every document in the mix: id, size, source_size, target, copies, taken (copies * size).
+
+    tie: a bigint column that orders rows of one id and is carried along.
+    """
+    ties = [F.col(tie).alias("tie")] if tie else []
     narrow = df.select(
         F.col(id_column).alias("id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.col(source).isNull().alias("none"),
         F.coalesce(F.col(source), F.lit("")).alias("name"),
+        *ties,
     )
     narrow = stored(narrow, "mix")
     salts = math.isqrt(narrow.count()) + 1
@@ -84,23 +89,25 @@ def systematic_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     in_cell = Window.partitionBy(*cell).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*cell, F.coalesce(F.sum("cell_n").over(in_source), F.lit(0)).alias("cell_rank")).join(sources, group)
     starts = runs.join(cells, cell).select(*cell, "salt", "source_size", "target", "rate", "offset", (F.col("cell_rank") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))).alias("start"))
-    in_run = Window.partitionBy(*cell, "salt").orderBy("id")
+    in_run = Window.partitionBy(*cell, "salt").orderBy("id", *(["tie"] if tie else []))
     ranked = rows.join(starts, [*cell, "salt"]).select("*", (F.col("start") + F.row_number().over(in_run) - 1).alias("rank"))
     crossed = F.floor(F.col("rate") * (F.col("rank") + 1) + F.col("offset")) - F.floor(F.col("rate") * F.col("rank") + F.col("offset"))
     copies = F.when(F.col("size") > 0, F.least(crossed, F.lit(cap))).otherwise(F.lit(0)).cast("bigint")
-    return ranked.select(F.col("id").alias(id_column), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return ranked.select(F.col("id").alias(id_column), "size", "source_size", "target", copies.alias("copies"), *(["tie"] if tie else [])).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Rows of a repeated id are told apart by order.
+    """The documents of the mix, each as often as it is taken.
 
-    Texts are shuffled once, by the id; the few numbers of an id's rows come to them as a list.
+    Rows are known by a hash of all their columns (but those of a map type, which have none), so that rows of one
+    hash are the same row several times. Their copies are summed up, each task keeps one of them before the one
+    shuffle of the texts, and the row is put out as often as the sum says: no row of a repeated or null id waits
+    for the others.
     """
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    copies = systematic_mix(df, id_column, text, source, **options).select(F.col(id_column).alias("id"), "size", "copies")
-    listed = copies.groupBy(key.alias("key"), F.col("id").isNull().alias("none")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("of_rows"), F.sum("copies").alias("whole")).where("whole > 0")
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
-    rows = df.select(F.col(id_column).alias("id"), words.alias("size"), F.struct("*").alias("row")).select(key.alias("key"), F.col("id").isNull().alias("none"), "size", "row")
-    nth = F.row_number().over(Window.partitionBy("key", "none").orderBy("size"))
-    met = rows.join(listed, ["key", "none"]).select("row", F.get("of_rows", nth - 1)["copies"].alias("copies")).where("copies > 0")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    tied = df.select(F.struct("*").alias("row"), F.xxhash64(*hashed).alias("tie"))
+    named = tied.select(F.col(f"row.{id_column}").alias("id"), F.col(f"row.{text}").alias("text"), F.col(f"row.{source}").alias("source"), "tie")
+    copies = systematic_mix(named, "id", "text", "source", tie="tie", **options).groupBy("tie").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    single = tied.groupBy("tie").agg(F.first("row").alias("row"))
+    met = single.join(copies.hint("merge"), "tie").select("row", "copies")
     return met.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")

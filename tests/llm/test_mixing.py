@@ -63,7 +63,27 @@ def test_reruns_agree_and_odd_tables(spark):
     assert mixing.systematic_mix(df.limit(0)).count() == 0
 
 
+def test_rows_of_a_hot_id_come_out_as_often_as_they_are_taken(spark):
+    hot = spark.range(20_000).selectExpr("cast(null as bigint) doc_id", "concat('w w ', id % 7) text", "'s' source", "'x' size", "cast(id % 3 as int) name")
+    df = hot.unionByName(spark.range(500).selectExpr("id doc_id", "'a b c d' text", "if(id % 2 = 0, 't', null) source", "'x' size", "1 name"))
+    took = mixing.systematic_mix(df).groupBy(F.col("doc_id").isNull()).agg(F.sum("taken")).collect()
+    rows = mixing.mixed_rows(df)
+    assert rows.columns == df.columns
+    words = rows.groupBy(F.col("doc_id").isNull()).agg(F.sum(F.size(F.split("text", " ")))).collect()
+    assert sorted(map(tuple, took)) == sorted(map(tuple, words))
+    most = rows.groupBy("text", "source", "name").count().join(df.groupBy("text", "source", "name").agg(F.count("*").alias("n")), ["text", "name"]).where(F.col("count") > 3 * F.col("n")).count()
+    assert most == 0
+
+
+def test_a_very_long_text_counts_all_its_words(spark):
+    df = documents(spark, [(1, "w " * 2_000_000, "s", "x", 1), (2, "a b", "t", "x", 1)])
+    got = {r.doc_id: (r.size, r.taken) for r in mixing.systematic_mix(df).collect()}
+    assert got[1][0] == 2_000_000 and got[2][0] == 2
+
+
 def test_the_main_path_runs_no_python(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixing.mixed_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in rows for word in ("Python", "Pandas", "Arrow"))
     plan = mixing.systematic_mix(df).groupBy().agg(F.sum("taken"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -38,7 +38,7 @@ ROWS = 1000
 #: Quantiles of the cosines of training texts with their own and with the other languages.
 LOW, HIGH = 0.005, 0.99
 #: Training texts are also measured by so many first characters.
-CUTS = (2, 4, 8, 16, 32, 64, 128, 256)
+CUTS = (2, 8, 32, 128)
 #: Cells of a cosine, and the least share of all training letters that a letter of the languages has.
 CELLS, LEAST_SHARE = 1000, 1e-5
 
@@ -237,9 +237,10 @@ def bounds(df: DataFrame, languages: list[str], profile: np.ndarray, text: str =
     for size in np.unique(rows[rows[:, 0] == 0, 1]):
         low, high = quantile(0, size, LOW), quantile(1, size, HIGH)
         least[size] = min(low, (low + high) / 2)
+    # A class that no text is of takes the bound of the next lower one, the lowest that of the next higher one.
     seen = np.flatnonzero(np.isfinite(least))
     if len(seen):
-        least[seen[-1] :] = least[seen[-1]]
+        least = least[seen[np.maximum(0, np.searchsorted(seen, np.arange(64), side="right") - 1)]]
     letters = rows[rows[:, 0] == 2]
     return np.minimum.accumulate(least[::-1])[::-1], np.sort(letters[letters[:, 3] >= LEAST_SHARE * letters[:, 3].sum(), 2])
 

@@ -1,10 +1,9 @@
-"""Queries of the ten operators and of the pipeline, with the SQL that expresses them."""
+"""Queries of the ten operators, with the SQL that expresses them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from . import embeddings, langid, lattice, mixing, neardup, pieces, quality, quo
 from .common import id_fold, table
 from .pieces import piece_model
 
+
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -108,7 +108,7 @@ def op6_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pieces.encode(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"))
+    return pieces.encode(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "spans_sha256"))
 
 
 def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +174,8 @@ FROM whole
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality, op10_quotation_linking)}
-    return named | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_hyperdimensional_langid, op3_subword_lattice, op4_systematic_mix, op5_spherical_kmeans_dedup, op6_bagminhash_dedup, op7_piece_codec, op8_ball_tree_topk, op9_line_crf_quality, op10_quotation_linking)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL, "op10_quotation_linking": QUOTES_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_systematic_mix": MIX_SQL, "op5_spherical_kmeans_dedup": EMBEDDING_SQL, "op8_ball_tree_topk": TOPK_SQL, "op10_quotation_linking": QUOTES_SQL}

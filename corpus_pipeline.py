@@ -1,7 +1,13 @@
 """From raw documents to token ids: quality, language, near duplicates, source mix, encoding.
 
 Each stage takes (spark, docs, sf_dir) and reads all that its predecessor kept. All but the last return the
-columns of the documents table.
+columns of the documents table, and further columns that docs has, whatever their names.
+
+Defined results: a null text, an empty one and one of white space alone are of low quality unless most labelled
+texts like it are good; a text without letters is in no language; so neither comes to the later stages, which
+still take them: nulls are near duplicates of nothing, have no words to mix and encode as the end id alone. Rows
+with a null id stay, as no id tells them apart; rows that repeat an id and a text become one in the near-duplicate
+stage; of a class of near duplicates the least id stays. An empty table stays empty through every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from lexweave.llm.common import id_fold, stored, table
 from lexweave.shipping import ship
 
 #: Of the language vectors: the noise of a cosine is about one by the root of this.
-LANGUAGE_DIMENSIONS = 2048
+LANGUAGE_DIMENSIONS = 1024
 
 
 def _packed(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import locators as L
 from lexweave.functions import text as T
+from lexweave.storage import stored
 
 # --- Fixed values -----------------------------------------------------------------------------------
 
@@ -31,29 +32,34 @@ def lookup(units: DataFrame, requests: DataFrame) -> DataFrame:
 
     One row for each request: status (found, not_found, ambiguous, invalid, unavailable), matches, before,
     selected and after (texts in order). Requests are normalised to numbers or keys, joined by equality, and
-    only found ranges fetch their units.
+    only found ranges fetch their units. Units and requests are stored once: the key index reads the units' narrow
+    columns, and texts are read for found ranges alone.
     """
+    plain = lambda c: L.compatible(F.col(c))
+    units = stored(units.select("*", plain("label").alias("plain_label"), F.when(F.col("kind") == "section", F.transform("aliases", L.compatible)).alias("plain_aliases"), F.when(F.col("kind") == "section", plain("unit_id")).alias("plain_id")), "units")
     group = F.when(F.col("kind").isin("page", "paragraph", "footnote"), F.col("kind")).otherwise("section")
-    asked = requests.select("*", group.alias("unit_kind"), is_valid(F.col("kind"), F.col("locator"), F.col("context"), F.col("page"), F.col("occurrence")).alias("valid"))
     end = F.when(F.col("end_locator") != "", F.col("end_locator"))
-    span = L.numeric_range(F.col("kind"), F.col("locator"))
-    first = F.coalesce(span["first"], L.ordinal(F.col("kind"), F.col("locator")))
-    last = F.when(end.isNotNull(), L.ordinal(F.col("kind"), end)).otherwise(F.coalesce(span["last"], first))
-    asked = asked.withColumns({"end": end, "first": first, "last": last})
+    asked = requests.select("*", group.alias("unit_kind"), end.alias("end"), plain("locator").alias("plain_from"), L.compatible(end).alias("plain_to"), is_valid(F.col("kind"), F.col("locator"), F.col("context"), F.col("page"), F.col("occurrence")).alias("valid"))
+    asked = stored(asked, "requests")
+    asked = asked.withColumns({"span": L.plain_range(F.col("kind"), F.col("plain_from")), "alone": L.plain_ordinal(F.col("kind"), F.col("plain_from")), "upto": L.plain_ordinal(F.col("kind"), F.col("plain_to"))})
+    first = F.coalesce("span.first", "alone")
+    last = F.when(F.col("end").isNotNull(), F.col("upto")).otherwise(F.coalesce("span.last", first))
+    # Stored once more, so that what follows holds the numbers and not the patterns that they come from.
+    asked = stored(asked.withColumns({"first": first, "last": last}).drop("span", "alone", "upto"), "asked")
     numbered = F.col("unit_kind").isin("page", "paragraph")
     bad = ~F.col("valid") | (numbered & F.coalesce((F.col("first") > F.col("last")) | F.col("first").isNull() | F.col("last").isNull(), F.lit(True))) | ((F.col("unit_kind") == "section") & F.col("end").isNotNull())
     asked = asked.withColumn("bad", F.coalesce(bad, F.lit(True)))
 
-    key = F.when(F.col("kind") == "footnote", L.footnote_key(F.col("label"))).when(F.col("kind") == "section", L.section_key(F.col("label"))).when(F.col("kind") == "page", F.col("label")).otherwise(F.col("ordinal").cast("string"))
-    other = F.when(F.col("kind") == "section", F.transform(F.coalesce("aliases", F.array()), L.section_key)).when(F.col("kind") == "footnote", F.array(L.footnote_key(F.col("unit_id")))).otherwise(F.array().cast("array<string>"))
-    ids = F.when(F.col("kind") == "section", F.array(L.section_key(F.concat(F.lit("section:"), F.col("unit_id"))))).otherwise(F.array().cast("array<string>"))
+    key = F.when(F.col("kind") == "footnote", L.footnote_key(F.col("label"))).when(F.col("kind") == "section", L.plain_section_key(F.col("plain_label"))).when(F.col("kind") == "page", F.col("label")).otherwise(F.col("ordinal").cast("string"))
+    other = F.when(F.col("kind") == "section", F.transform(F.coalesce("plain_aliases", F.array()), L.plain_section_key)).when(F.col("kind") == "footnote", F.array(L.footnote_key(F.col("unit_id")))).otherwise(F.array().cast("array<string>"))
+    ids = F.when(F.col("kind") == "section", F.array(L.plain_section_key(F.concat(F.lit("section:"), F.col("plain_id"))))).otherwise(F.array().cast("array<string>"))
     keyed = units.select(F.col("doc_id"), F.col("kind").alias("unit_kind"), "ordinal", "unit_id", "locator_kind", F.col("occurrence").alias("unit_occurrence"), "pages", F.explode(F.array_distinct(F.concat(F.array(key), other, ids))).alias("key"))
 
-    def wanted(locator: Column, number: Column) -> Column:
-        return F.when(numbered, number.cast("string")).when(F.col("unit_kind") == "footnote", L.footnote_key(locator)).otherwise(L.section_key(locator))
+    def wanted(locator: Column, plain_form: Column, number: Column) -> Column:
+        return F.when(numbered, number.cast("string")).when(F.col("unit_kind") == "footnote", L.footnote_key(locator)).otherwise(L.plain_section_key(plain_form))
 
     good = asked.where("not bad")
-    sides = good.select("request_id", "doc_id", "kind", "unit_kind", "page", "occurrence", F.explode(F.array(F.struct(F.lit("from").alias("side"), wanted(F.col("locator"), F.col("first")).alias("key")), F.struct(F.lit("to").alias("side"), wanted(F.coalesce("end", "locator"), F.col("last")).alias("key")))).alias("s")).select("*", "s.side", "s.key")
+    sides = good.select("request_id", "doc_id", "kind", "unit_kind", "page", "occurrence", F.explode(F.array(F.struct(F.lit("from").alias("side"), wanted(F.col("locator"), F.col("plain_from"), F.col("first")).alias("key")), F.struct(F.lit("to").alias("side"), wanted(F.coalesce("end", "locator"), F.coalesce("plain_to", "plain_from"), F.col("last")).alias("key")))).alias("s")).select("*", "s.side", "s.key")
     met = sides.drop("s").join(keyed, ["doc_id", "unit_kind", "key"])
     fits = F.when(F.col("unit_kind") == "footnote", (F.col("occurrence").isNull() | (F.col("occurrence") == F.col("unit_occurrence"))) & (F.col("page").isNull() | F.array_contains("pages", F.col("page")))).when(F.col("unit_kind") == "section", (F.col("kind") == "section") | (F.col("kind") == F.col("locator_kind"))).otherwise(F.lit(True))
     met = met.where(fits)
@@ -112,3 +118,43 @@ def rendered_ranges(units: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum(T.utf16_length(F.col("text")) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = units.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n"), 256).alias("revision"))
     return units.select("doc_id", "seq", start.alias("rendered_start"), (start + T.utf16_length(F.col("text"))).alias("rendered_end")).join(whole, "doc_id")
+
+
+# --- Units of a document ------------------------------------------------------------------------------
+
+_SCORE = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c).cast("double")))
+
+
+def page_units(pages: DataFrame) -> DataFrame:
+    """Units of pages (doc_id, page_id, page_number, text_quality, source, text); the quality is the confidence."""
+    unit_id = F.when(F.coalesce("page_id", F.lit("")) == "", F.concat(F.lit("page-"), F.col("page_number").cast("string"))).otherwise(F.col("page_id"))
+    source = F.when(F.coalesce("source", F.lit("")) == "", "unknown").otherwise(F.col("source"))
+    number = F.col("page_number").cast("int")
+    return pages.select("doc_id", F.lit("page").alias("kind"), unit_id.alias("unit_id"), F.format_string("[page %d]", number).alias("locator"), F.coalesce("text", F.lit("")).alias("text"), F.array(number).alias("pages"), _SCORE("text_quality").alias("confidence"), F.lit("page_text_quality").alias("basis"), source.alias("provenance"))
+
+
+def paragraph_units(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Units of paragraphs (doc_id, paragraph_id, ordinal, page_index, region_type, text); confidence is that of the first page."""
+    first = pages.select("doc_id", "page_index", F.col("page_number").cast("int").alias("number"), _SCORE("text_quality").alias("confidence"))
+    met = paragraphs.join(first, ["doc_id", "page_index"], "left")
+    number = F.col("ordinal").cast("string")
+    unit_id = F.when(F.coalesce("paragraph_id", F.lit("")) == "", F.concat(F.lit("paragraph-"), number)).otherwise(F.col("paragraph_id"))
+    told = F.col("number").isNotNull()
+    return met.select("doc_id", F.lit("paragraph").alias("kind"), unit_id.alias("unit_id"), F.concat(F.lit("paragraph "), number).alias("locator"), "text", F.when(told, F.array("number")).otherwise(F.array().cast("array<int>")).alias("pages"), "confidence", F.when(told, "page_text_quality").otherwise("unavailable").alias("basis"), F.concat(F.lit("legalpdf:"), F.when(F.col("region_type").isin("body", "heading"), F.col("region_type")).otherwise("unknown")).alias("provenance"))
+
+
+def footnote_units(notes: DataFrame) -> DataFrame:
+    """Units of notes (doc_id, pair_id, label, body, reference_page, body_pages, confidence, provenance, sentence, passage)."""
+    pages = F.array_distinct(F.filter(F.concat(F.array(F.col("reference_page").cast("int")), F.col("body_pages").cast("array<int>")), lambda p: p.isNotNull()))
+    source = F.when(F.coalesce("provenance", F.lit("")) == "", "unknown").otherwise(F.col("provenance"))
+    return notes.select("doc_id", F.lit("footnote").alias("kind"), F.col("pair_id").alias("unit_id"), F.concat(F.lit("footnote "), F.col("label")).alias("locator"), F.trim("body").alias("text"), pages.alias("pages"), _SCORE("confidence").alias("confidence"), F.lit("footnote_pairing").alias("basis"), source.alias("provenance"), F.trim("sentence").alias("sentence"), F.trim("passage").alias("passage"))
+
+
+def section_units(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """Units of sections (doc_id, seq, section_id, label, page_indexes, text): their pages in order, the least quality as confidence."""
+    known = pages.select("doc_id", "page_index", F.col("page_number").cast("int").alias("number"), _SCORE("text_quality").alias("quality"))
+    each = sections.select("doc_id", "seq", F.posexplode("page_indexes").alias("pos", "page_index")).join(known, ["doc_id", "page_index"])
+    told = each.groupBy("doc_id", "seq").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"])).alias("pages"), F.min("quality").alias("confidence"))
+    unit_id = F.when(F.coalesce("section_id", F.lit("")) == "", F.concat(F.lit("section-"), F.col("seq").cast("string"))).otherwise(F.col("section_id"))
+    met = sections.join(told, ["doc_id", "seq"], "left")
+    return met.select("doc_id", F.lit("section").alias("kind"), unit_id.alias("unit_id"), F.trim(F.coalesce("label", "section_id")).alias("locator"), F.trim("text").alias("text"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), "confidence", F.when(F.col("confidence").isNull(), "unavailable").otherwise("minimum_page_text_quality").alias("basis"))

@@ -72,11 +72,16 @@ def union_box(box: Column) -> Column:
 
 
 def longest_label_run(values: Column) -> Column:
-    """Length of the longest increasing subsequence of labels whose steps are 1 to 3."""
+    """Length of the longest increasing subsequence of labels whose steps are 1 to 3.
+
+    Of the runs that end in one value only the longest counts, so that the fold holds a length for each value.
+    """
     empty = F.array().cast("array<struct<v:int,n:int>>")
 
     def step(acc: Column, v: Column) -> Column:
         before = F.array_max(F.transform(F.filter(acc, lambda p: (v - p["v"]).between(1, 3)), lambda p: p["n"]))
-        return F.concat(acc, F.array(F.struct(v.cast("int").alias("v"), (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("n"))))
+        own = F.array_max(F.transform(F.filter(acc, lambda p: p["v"] == v), lambda p: p["n"]))
+        best = F.greatest(F.coalesce(before, F.lit(0)) + 1, F.coalesce(own, F.lit(0)))
+        return F.concat(F.filter(acc, lambda p: p["v"] != v), F.array(F.struct(v.cast("int").alias("v"), best.cast("int").alias("n"))))
 
     return F.coalesce(F.array_max(F.transform(F.aggregate(values, empty, step), lambda p: p["n"])), F.lit(0))

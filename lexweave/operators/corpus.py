@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------------------------------
@@ -11,6 +11,8 @@ HARD_DIAGNOSTICS = ("COLUMN_ORDER_UNCERTAIN", "FOOTNOTE_UNMATCHED_LABEL", "FOOTN
 OCR_REQUIRED = "OCR_REQUIRED"
 MOST_SECONDS = 180
 MANIFEST_PATH_CHARS = 1024
+#: Stretches that latencies are cut into.
+STRETCHES = 200
 
 # ----------------------------------------------------------------------------------------------------
 
@@ -100,8 +102,6 @@ def retained(cache: DataFrame, limit: int) -> DataFrame:
 
     Sums run over days, and inside a day over its entries, so no task gets more than a day's entries.
     """
-    from pyspark.sql import Window
-
     day = F.to_date("modified")
     newest = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
     days = cache.groupBy(day.alias("day")).agg(F.sum("bytes").alias("bytes")).select(F.col("day").alias("its_day"), F.coalesce(F.sum("bytes").over(newest), F.lit(0)).alias("newer"))
@@ -111,7 +111,19 @@ def retained(cache: DataFrame, limit: int) -> DataFrame:
 
 
 def latency_summary(batches: DataFrame) -> DataFrame:
-    """One row: batches, lines, padding ratio, and latencies at 50 and 95 per cent by the upper rank."""
-    at = lambda p: F.get(F.col("s"), F.ceil((F.size("s") - 1) * p / 100).cast("int"))
-    told = batches.agg(F.count("*").alias("batches"), F.sum("lines").alias("lines"), (1 - F.sum("used") / F.sum("padded")).alias("padding"), F.sort_array(F.collect_list("seconds")).alias("s"))
-    return told.select("batches", "lines", "padding", at(50).alias("p50"), at(95).alias("p95"))
+    """One row: batches, lines, padding ratio, and latencies at 50 and 95 per cent by the upper rank.
+
+    Latencies are counted by value; values are cut into stretches at approximate quantiles, whose sums (a row for
+    each stretch) and a prefix inside each stretch give exact ranks. No task holds the latencies of all batches.
+    """
+    counted = batches.where("seconds is not null").groupBy("seconds").agg(F.count("*").alias("n"))
+    cuts = batches.agg(F.percentile_approx("seconds", [k / STRETCHES for k in range(1, STRETCHES)], F.lit(100 * STRETCHES)).alias("cuts"))
+    placed = counted.crossJoin(cuts).select("seconds", "n", F.size(F.filter("cuts", lambda c: c < F.col("seconds"))).alias("stretch"))  # one row of cuts
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    whole = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = placed.groupBy("stretch").agg(F.sum("n").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    inside = Window.partitionBy("stretch").orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("inside", F.sum("n").over(inside)).join(sums, "stretch")
+    at = lambda p: F.min(F.when(F.col("before") + F.col("inside") > F.ceil((F.col("total") - 1) * p / 100), F.col("seconds")))
+    told = batches.agg(F.count("*").alias("batches"), F.sum("lines").alias("lines"), (1 - F.sum("used") / F.sum("padded")).alias("padding"))
+    return told.crossJoin(ranked.agg(at(50).alias("p50"), at(95).alias("p95")))  # one row each

@@ -85,13 +85,25 @@ def propositions(paragraphs: DataFrame) -> DataFrame:
 def best_chain(items: list[tuple[int, int, float]]) -> list[int]:
     """Positions of the chain of labels with the greatest score: values rise, places rise, gaps cost.
 
-    items: (value, place, score) in order of place. A gap of k missing values costs k / 4.
+    items: (value, place, score) in order of place. A gap of k missing values costs k / 4. The best chain that ends
+    below a value is a prefix maximum over values of (its score + value / 4), kept in a binary indexed tree, so that
+    n items take n log n steps. Of equal chains the one whose last label stands later goes on.
     """
+    values = sorted({v for v, _, _ in items})
+    rank = {v: k + 1 for k, v in enumerate(values)}
+    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(values) + 1)
     best: list[tuple[float, int]] = []
     for i, (value, _, score) in enumerate(items):
-        options = [(best[j][0] - (value - items[j][0] - 1) / 4, j) for j in range(i) if items[j][0] < value]
-        top = max(options, default=(0.0, -1))
-        best.append((score + max(top[0], 0.0), top[1] if top[0] > 0 else -1))
+        k, top = rank[value] - 1, (float("-inf"), -1)
+        while k:
+            top = max(top, tree[k])
+            k -= k & -k
+        gain = top[0] - (value - 1) / 4
+        best.append((score + max(gain, 0.0), top[1] if gain > 0 else -1))
+        entry, k = (best[-1][0] + value / 4, i), rank[value]
+        while k < len(tree):
+            tree[k] = max(tree[k], entry)
+            k += k & -k
     if not best:
         return []
     at = max(range(len(best)), key=lambda i: best[i][0])

@@ -407,19 +407,21 @@ def _array_type(fields: str) -> str:
     return f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def parse(lines: DataFrame, doc: str = "doc_id", cite: bool = False) -> DataFrame:
+def parse(lines: DataFrame, doc: str = "doc_id", cite: bool = False, parts: tuple[str, ...] = ("provisions", "notes", "diagnostics")) -> DataFrame:
     """One row for each document: provisions, notes and diagnostics as arrays. Lines need doc_id, seq, text, page_number, note_class.
 
     cite: also the resolved citations, found in the same pass; without it they can be found on the flat
-    provisions, in parallel inside a document, at the price of a join for their resolution.
+    provisions, in parallel inside a document, at the price of a join for their resolution. parts: the arrays that
+    leave the worker.
     """
     kind = lines.schema[doc].dataType.simpleString()
     numbered = lines.select(F.col(doc).alias("doc_id"), F.struct("seq").alias("seq"), "text", F.col("page_number").cast("int").alias("page_number"), "note_class")
     grouped = numbered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "page_number", "note_class"))).alias("lines"))
     plain = grouped.select("doc_id", F.transform("lines", lambda x: F.struct(x["text"].alias("text"), x["page_number"].alias("page_number"), x["note_class"].alias("note_class"))).alias("lines"))
-    parts = {"provisions": PROVISION_FIELDS, "notes": NOTE_FIELDS, "diagnostics": DIAGNOSTIC_FIELDS} | ({"citations": CITATION_FIELDS} if cite else {})
+    every = {"provisions": PROVISION_FIELDS, "notes": NOTE_FIELDS, "diagnostics": DIAGNOSTIC_FIELDS}
+    fields_of = {name: every[name] for name in parts} | ({"citations": CITATION_FIELDS} if cite else {})
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
-    arrow = {name: pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])) for name, fields in parts.items()}
+    arrow = {name: pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])) for name, fields in fields_of.items()}
 
     def rows(batches):
         for batch in batches:
@@ -428,7 +430,7 @@ def parse(lines: DataFrame, doc: str = "doc_id", cite: bool = False) -> DataFram
                 made = [m | {"citations": cite_document(m["provisions"])} for m in made]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[n] for m in made], t) for n, t in arrow.items())], names=["doc_id", *arrow])
 
-    return plain.mapInArrow(rows, f"doc_id {kind}, " + ", ".join(f"{name} {_array_type(fields)}" for name, fields in parts.items()))
+    return plain.mapInArrow(rows, f"doc_id {kind}, " + ", ".join(f"{name} {_array_type(fields)}" for name, fields in fields_of.items()))
 
 
 def citations(parsed: DataFrame) -> DataFrame:

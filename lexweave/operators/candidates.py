@@ -23,6 +23,8 @@ ORDER_LINES, COLUMN_SWITCHES, LONG_RUN, SCRAMBLED = 8, 5, 6, 3
 UNITS_AFTER = r"(?i)^[ \t]+(?:years?|days?|months?|weeks?|hours?|minutes?|seconds?|per|percent|p\.c\b|cents?|dollars?|pounds?|shillings?|pence|feet|foot|acres?|miles?|inches?|yards?|tons?|o.?clock)\b"
 PROVISION_BEFORE = r"(?i)\b(?:ss?|sub-?ss?|arts?|paras?|cls?)\.?\s*$"
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+LONGEST_DIGITS, LONGEST_RAISED, LONGEST_SYMBOLS = 7, 4, 8
+NOTE_SCORE = 1.5
 
 # ----------------------------------------------------------------------------------------------------
 
@@ -234,3 +236,76 @@ def protected_spans(text: str, reporters: tuple[str, ...]) -> list[tuple[int, in
     names = "|".join(re.escape(r) for r in sorted(reporters, key=len, reverse=True))
     pattern = re.compile(rf"(?:\[\d{{4}}\]\s*|\(\d{{4}}\),?\s*|\b\d{{4}}\s+)?(?:\d{{1,4}}\s+)?(?:{names})(?:\s*\(\d[a-z]{{1,2}}\))?\s+\d{{1,5}}\b")
     return [m.span() for m in pattern.finditer(text)] if names else []
+
+
+def runs(text: Column) -> Column:
+    """Runs of digits, raised digits and note symbols of a text: structs kind, start, end, value, in order.
+
+    Digit runs of more than seven are passed over; raised ones are cut after four, symbols after eight.
+    """
+    digit, raised, symbol = "[0-9]", f"[{SUPERSCRIPTS}]", f"[{T.NOTE_SYMBOLS}]"
+    same = "|".join(f"(?<={c})(?!{c})|(?<!{c})(?={c})" for c in (digit, raised, symbol))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        kind = F.when(piece.rlike(f"^{digit}"), "digits").when(piece.rlike(f"^{raised}"), "raised").when(piece.rlike(f"^{symbol}"), "symbols")
+        size = F.when(kind == "digits", F.lit(LONGEST_DIGITS)).when(kind == "raised", F.lit(LONGEST_RAISED)).otherwise(F.lit(LONGEST_SYMBOLS))
+        begins = F.when(kind.isNotNull() & ~((kind == "digits") & (F.length(piece) > LONGEST_DIGITS)), F.sequence(F.lit(0), F.length(piece) - 1, size)).otherwise(F.array().cast("array<int>"))
+        made = F.transform(begins, lambda b: F.struct(kind.alias("kind"), (acc["at"] + b).alias("start"), (acc["at"] + F.least(b + size, F.length(piece))).alias("end"), F.substring(piece, b + 1, size).alias("value")))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], made).alias("out"))
+
+    return F.aggregate(F.filter(F.split(text, same), lambda p: p != ""), start, step, lambda acc: acc["out"])
+
+
+def observed_marker(value: Column) -> Column:
+    """A marker as seen: digits and symbols in their plain form, without white space, brackets and closing stops."""
+    plain = F.translate(F.translate(F.regexp_replace(value, r"\s+", ""), *T.CANONICAL_SYMBOLS), "⁰¹²³⁴⁵⁶⁷⁸⁹０１２３４５６７８９", "01234567890123456789")
+    return F.regexp_replace(F.regexp_replace(plain, r"[.):\]]+$", ""), r"^[(\[]+", "")
+
+
+def marker_confidence(value: Column) -> Column:
+    return F.bround(value, 3)
+
+
+def kept_labels(labels: DataFrame) -> DataFrame:
+    """Labels of a chain that stay without a reference: in a note zone, with a fair score or a neighbour one value away.
+
+    labels: doc_id, chain, place, label_id, value, page_index, zone, score. A neighbour counts on the same or the
+    next page.
+    """
+    order = Window.partitionBy("doc_id", "chain").orderBy("place", "label_id")
+
+    def beside(move) -> Column:
+        return F.coalesce((F.abs(F.col("value") - move("value").over(order)) == 1) & (F.abs(F.col("page_index") - move("page_index").over(order)) <= 1), F.lit(False))
+
+    seen = labels.withColumn("beside", beside(F.lag) | beside(F.lead))
+    return seen.where((F.col("zone") == "note") & ((F.col("score") >= NOTE_SCORE) | F.col("beside"))).select("doc_id", "chain", "label_id", "value")
+
+
+def observations(evidence: DataFrame) -> DataFrame:
+    """The observations of each candidate in order, each once: doc_id, candidate_id, observations.
+
+    evidence: doc_id, candidate_id, seq, kind, source, value; one that is equal to an earlier one is passed over.
+    """
+    first = evidence.groupBy("doc_id", "candidate_id", "kind", "source", "value").agg(F.min("seq").alias("seq"))
+    listed = first.groupBy("doc_id", "candidate_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "source", "value"))).alias("ls"))
+    return listed.select("doc_id", "candidate_id", F.transform("ls", lambda x: F.struct(x["kind"].alias("kind"), x["source"].alias("source"), x["value"].alias("value"))).alias("observations"))
+
+
+def marker_audit(pairs: DataFrame, references: DataFrame) -> DataFrame:
+    """A row for each marker of the notes of a document: its role, status, observed form and confidence.
+
+    pairs: doc_id, pair_id, label_id, label_text, label_score, ref_id (null where none was found), ref_score;
+    references: doc_id, ref_id, text, score. Roles are label and reference; a label is paired or label_only, a
+    reference paired or unpaired.
+    """
+    told = lambda df, role, status, marker, pair, text, score: df.select("doc_id", F.lit(role).alias("role"), status.alias("status"), marker.cast("string").alias("marker_id"), pair.alias("pair_id"), observed_marker(text).alias("observed"), marker_confidence(score).alias("confidence"))
+    status = F.when(F.col("ref_id").isNull(), "label_only").otherwise("paired")
+    rows = told(pairs, "label", status, F.col("label_id"), F.col("pair_id"), F.col("label_text"), F.col("label_score"))
+    met = references.join(pairs.where("ref_id is not null").select("doc_id", "ref_id", "pair_id"), ["doc_id", "ref_id"], "left")
+    return rows.unionByName(told(met, "reference", F.when(F.col("pair_id").isNull(), "unpaired").otherwise("paired"), F.col("ref_id"), F.col("pair_id"), F.col("text"), F.col("score")))
+
+
+def audit_counts(audit: DataFrame) -> DataFrame:
+    """Markers of each role and status of a document."""
+    return audit.groupBy("doc_id", "role", "status").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------------------------------
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MOST_DEPTH = 4
 MOST_COUNTER = 200
 SUSPECT_VALUE = 15
+OUTLINE = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,3})([.)]?)(\s+)(\S.*)$"
+OUTLINE_LINES, OUTLINE_NESTED, OUTLINE_X = 4, 2, (6.0, 800.0, 0.015)
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 # ----------------------------------------------------------------------------------------------------
@@ -114,3 +116,38 @@ def suspect_families(ladder: DataFrame) -> DataFrame:
     used = ladder.where("level is not null").groupBy("doc_id", "family").agg(F.count("*").alias("n"), F.max("value").alias("max_value"), F.countDistinct("level").alias("levels"))
     numeric = F.col("family").startswith("numeric_") | F.col("family").startswith("legal_numeric_")
     return used.withColumn("footnote_suspect", numeric & (F.col("max_value") >= SUSPECT_VALUE) & (F.col("levels") == 1))
+
+
+def numeric_outlines(lines: DataFrame) -> DataFrame:
+    """Lines of pages whose numbered lines form one outline: doc_id, page_index, line_id, start, end, depth.
+
+    lines: doc_id, page_index, reading_order, line_id, text, x0, page_width. Numbers such as 2.1 rise down the page,
+    every nested one has its parent before it, the ladder reads without a violation, and the lines of one depth
+    start at one place across. A page needs four such lines, two of them nested.
+    """
+    from lexweave.operators.candidates import title_plausible
+
+    page = ["doc_id", "page_index"]
+    parts = F.transform(F.split(F.regexp_extract("text", OUTLINE, 1), r"\."), lambda v: v.try_cast("int"))
+    begin = F.length(F.regexp_extract("text", r"^(\s*)", 1))
+    size = F.length(F.regexp_extract("text", OUTLINE, 1)) + F.length(F.regexp_extract("text", OUTLINE, 2))
+    found = lines.where(F.col("text").rlike(OUTLINE)).select(*page, "reading_order", "line_id", "x0", "page_width", parts.alias("parts"), F.regexp_extract("text", OUTLINE, 1).alias("value"), F.regexp_extract("text", OUTLINE, 2).alias("punct"), begin.alias("start"), (begin + size).alias("end"), F.regexp_extract("text", OUTLINE, 4).alias("title"))
+    rows = found.where(title_plausible(F.col("title")) & ((F.size("parts") > 1) | (F.col("punct") != ""))).withColumn("depth", F.size("parts"))
+    order = Window.partitionBy(*page).orderBy("reading_order", "line_id")
+    rises = F.coalesce(F.col("parts") > F.lag("parts").over(order), F.lit(True))
+    spread = F.max("x0").over(Window.partitionBy(*page, "depth")) - F.min("x0").over(Window.partitionBy(*page, "depth"))
+    seen = rows.withColumns({"rises": rises, "spread": spread, "width": F.first(F.when(F.col("page_width") != 0, F.col("page_width")), True).over(Window.partitionBy(*page))})
+    listed = seen.groupBy(*page).agg(F.count("*").alias("n"), F.count_if(F.col("depth") > 1).alias("nested"), F.bool_and("rises").alias("rises"), F.max("spread").alias("spread"), F.max("width").alias("width"), F.array_sort(F.collect_list(F.struct("reading_order", "line_id", "parts", "value", F.when(F.col("punct") == "", ".").otherwise(F.col("punct")).alias("punct")))).alias("items"))
+    # Parents are smaller than their children, so in rising lists they stand before them.
+    parented = F.forall("items", lambda i: (F.size(i["parts"]) == 1) | F.exists("items", lambda p: p["parts"] == F.slice(i["parts"], 1, F.size(i["parts"]) - 1)))
+    wide = F.greatest(F.lit(OUTLINE_X[0]), F.coalesce("width", F.lit(OUTLINE_X[1])) * OUTLINE_X[2])
+    fair = listed.where((F.col("n") >= OUTLINE_LINES) & (F.col("nested") >= OUTLINE_NESTED) & F.col("rises") & (F.col("spread") <= wide)).where(parented)
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in page}
+
+    def clean(batches):
+        for batch in batches:
+            keep = [read_ladder([(i["value"], i["punct"]) for i in items])[1] == "parsed_clean" for items in batch.column("items").to_pylist()]
+            yield batch.select(page).filter(pa.array(keep, pa.bool_()))
+
+    good = fair.select(*page, F.transform("items", lambda i: F.struct(i["value"].alias("value"), i["punct"].alias("punct"))).alias("items")).mapInArrow(clean, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return rows.join(good, page).select(*page, "line_id", "start", "end", "depth")

@@ -16,6 +16,8 @@ WIDEST_COLUMN, LEAST_CANDIDATES, WIDE_SHARE = 0.55, 6, 0.40
 LEAST_GAP, SPLIT_RANGE, SIDE_LINES, SIDE_OVERLAP = 0.12, (0.25, 0.75), 3, 0.30
 MIDDLE_RANGE, LIKE_WIDTHS, SPANNING_SHARE = (0.40, 0.60), 0.60, 0.20
 PARALLEL_VOTES, FRENCH_VOTES = 8, 3
+MARGIN_SIZE, MARGIN_WIDTH, MARGIN_PROSE, MARGIN_GAP = 0.90, 0.25, 3, (1.5, 0.02)
+TABLE_NOTE_REACH, TABLE_NOTE_GAP = 3.0, 1.6
 
 # ----------------------------------------------------------------------------------------------------
 
@@ -227,3 +229,82 @@ def length_buckets(lines: DataFrame, width: int, batch: int) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("line_id")
     rows = lines.withColumn("bucket", bucket).withColumn("n", F.row_number().over(order) - 1)
     return rows.select("line_id", "bucket", F.floor(F.col("n") / batch).cast("int").alias("batch"), (F.col("n") % batch).cast("int").alias("place"))
+
+
+def margin_models(lines: DataFrame, labels: DataFrame, pages: DataFrame, minimum: int = 1) -> DataFrame:
+    """Pages whose note labels stand in a margin lane beside the body: kind, split_x, left_lines, right_lines.
+
+    lines: doc_id, page_index, line_id, text, bbox, size, region_type, exclude_from_body; labels: doc_id,
+    page_index, line_id; pages: doc_id, page_index, width, body_size. The lane left or right of the middle with
+    more labels counts, the right one if they are equal. A lane reaches over its labels and the bodies beside
+    labels that stand alone; three or more body lines must stand beside it, a gap apart.
+    """
+    from lexweave.operators.regions import nearest_label
+
+    page, lane = ["doc_id", "page_index"], ["doc_id", "page_index", "right"]
+    sized = pages.select(*page, "width", "body_size").where("width > 0 and body_size > 0")
+    own = lines.join(labels.select(*page, "line_id").distinct(), [*page, "line_id"]).join(sized, page).withColumn("right", G.center_x(F.col("bbox")) >= F.col("width") / 2)
+    alone = own.where(S.is_shape("note_label_alone", F.col("text")))
+    bodies = nearest_label(alone.select(*page, "line_id", "bbox"), lines).join(lines.select(*page, F.col("line_id").alias("body_id"), F.col("bbox").alias("body")), [*page, "body_id"]).select(*page, "line_id", "body")
+    edges = own.join(bodies, [*page, "line_id"], "left")
+    end = lambda f, e: f(F.when(F.col(f"body.{e}").isNull(), F.col(f"bbox.{e}")).otherwise((F.least if f is F.min else F.greatest)(F.col(f"bbox.{e}"), F.col(f"body.{e}"))))
+    lanes = edges.groupBy(*lane).agg(F.count("*").alias("n"), end(F.min, "x0").alias("note_left"), end(F.max, "x1").alias("note_right"), end(F.min, "y0").alias("top"), end(F.max, "y1").alias("bottom")).where(F.col("n") >= minimum)
+    prose = lines.where(G.is_valid(F.col("bbox")) & ~F.coalesce("exclude_from_body", F.lit(False)) & ~F.coalesce(F.col("region_type").isin("header", "footer"), F.lit(False)))
+    prose = prose.join(sized, page).where((F.col("size") >= F.col("body_size") * MARGIN_SIZE) & (G.width(F.col("bbox")) >= F.col("width") * MARGIN_WIDTH)).select(*page, "line_id", F.col("bbox").alias("p"), "width", "body_size")
+    beside = lanes.join(prose, page).where((F.col("p.y1") >= F.col("top")) & (F.col("p.y0") <= F.col("bottom"))).join(own.select(*lane, "line_id"), [*lane, "line_id"], "left_anti")
+    told = beside.groupBy(*lane, "n", "note_left", "note_right", "width", "body_size").agg(F.count("*").alias("prose"), F.min("p.x0").alias("body_left"), F.max("p.x1").alias("body_right")).where(F.col("prose") >= MARGIN_PROSE)
+    gap = F.greatest(F.col("body_size") * MARGIN_GAP[0], F.col("width") * MARGIN_GAP[1])
+    split = F.when(F.col("note_right") + gap <= F.col("body_left"), (F.col("note_right") + F.col("body_left")) / 2).when(F.col("body_right") + gap <= F.col("note_left"), (F.col("body_right") + F.col("note_left")) / 2)
+    fair = told.withColumn("split_x", split).where("split_x is not null")
+    best = fair.groupBy(*page).agg(F.max_by(F.struct("split_x", F.when(F.col("right"), F.col("prose")).otherwise(F.col("n")).alias("l"), F.when(F.col("right"), F.col("n")).otherwise(F.col("prose")).alias("r")), F.struct("n", "right")).alias("b"))
+    return best.select(*page, F.lit("margin_column").alias("kind"), "b.split_x", F.col("b.l").alias("left_lines"), F.col("b.r").alias("right_lines"))
+
+
+def table_notes(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Lines of notes with symbols under or inside a table, and the lines that follow them downwards.
+
+    lines: doc_id, page_index, line_id, text, bbox, in_table, in_cell; tables: doc_id, page_index, bottom,
+    line_height. A note starts at a symbol with four letters after it; it goes on until a gap, a cell or a caption.
+    """
+    page = ["doc_id", "page_index"]
+    met = lines.join(tables.select(*page, "bottom", "line_height"), page)
+    rest = F.regexp_replace("text", rf"^\s*[{T.NOTE_SYMBOLS}]{{1,8}}", "")
+    symbol = T.label_prefix(F.col("text")).rlike("^[^0-9]+$") & (F.length(S.letters(rest)) >= 4)
+    below = (F.col("bbox.y0") > F.col("bottom")) & (F.col("bbox.y0") <= F.col("bottom") + F.col("line_height") * TABLE_NOTE_REACH)
+    anchors = met.where(F.coalesce(symbol, F.lit(False)) & ((~F.col("in_table") & F.col("in_cell")) | below)).select(*page, F.col("line_id").alias("anchor"), F.col("bbox").alias("a"))
+    after = met.join(anchors, page).where((F.col("line_id") != F.col("anchor")) & (F.col("bbox.y0") >= F.col("a.y0")))
+    order = Window.partitionBy(*page, "anchor").orderBy("bbox.y0", "line_id")
+    reached = F.greatest(F.col("a.y1"), F.max("bbox.y1").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = (F.col("bbox.y0") - reached > F.col("line_height") * TABLE_NOTE_GAP) | F.col("in_cell") | S.is_shape("table_caption", F.col("text"))
+    grown = after.withColumn("ends", ends.cast("int")).withColumn("ended", F.max("ends").over(order))
+    return grown.where("ended = 0").select(*page, "line_id").unionByName(anchors.select(*page, F.col("anchor").alias("line_id"))).distinct()
+
+
+def class_detections(boxes: DataFrame, class_top: int, keep: int, threshold: float, overlap_limit: float) -> DataFrame:
+    """Detections after suppression inside each class: the class_top best of a class, then keep of a page, in order.
+
+    boxes: doc_id, page_index, query, label, score, bbox. Scores at or below the threshold, boxes without extent and
+    values that are not finite go first, before anything is gathered. Rows: rank, query, label, score.
+    """
+    page = ["doc_id", "page_index"]
+    kinds = {c: boxes.schema[c].dataType.simpleString() for c in page}
+    finite = ~F.isnan("score") & (F.abs("score") < F.lit(float("inf")))
+    order = Window.partitionBy(*page, "label").orderBy(F.desc("score"), "query")
+    best = boxes.where(finite & (F.col("score") > threshold) & G.is_valid(F.col("bbox"))).withColumn("place", F.row_number().over(order)).where(F.col("place") <= class_top)
+    item = F.struct((-F.col("score")).cast("double").alias("down"), F.col("label").cast("int").alias("label"), F.col("query").cast("int").alias("query"), *[F.col(f"bbox.{e}").cast("double").alias(e) for e in ("x0", "y0", "x1", "y1")])
+    listed = best.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
+
+    def rows(batches):
+        for batch in batches:
+            made = []
+            for items in batch.column("boxes").to_pylist():
+                kept: list[dict] = []
+                for b in items:
+                    if len(kept) < keep and all(k["label"] != b["label"] or overlap(b, k) <= overlap_limit for k in kept):
+                        kept.append(b)
+                made.append([{"query": k["query"], "label": k["label"], "score": -k["down"]} for k in kept])
+            kind = pa.list_(pa.struct([("query", pa.int32()), ("label", pa.int32()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page_index"), pa.array(made, kind)], names=[*page, "kept"])
+
+    done = listed.mapInArrow(rows, f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, kept array<struct<query:int,label:int,score:double>>")
+    return done.select(*page, F.posexplode("kept").alias("rank", "k")).select(*page, "rank", "k.*")

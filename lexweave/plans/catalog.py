@@ -27,12 +27,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from lexweave.plans import queries as _registered  # noqa: F401
+    from lexweave.plans import evidence_queries, queries  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexweave.plans import queries as _registered  # noqa: F401
+    from lexweave.plans import evidence_queries, queries  # noqa: F401
 
     return dict(_ORACLES)

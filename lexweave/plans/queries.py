@@ -79,9 +79,9 @@ def repeat_text_keys(spark, sf_dir):
 # --- Statutes ------------------------------------------------------------------------------------------
 
 
-def _parsed(spark, sf_dir):
+def _parsed(spark, sf_dir, *parts, cite=True):
     rows = STATUTES.frame(spark, sf_dir).select("doc_id", "seq", "text", F.lit(1).alias("page_number"), F.lit("unknown").alias("note_class"))
-    return statute.parse(rows, cite=True)
+    return statute.parse(rows, cite=cite, parts=parts)
 
 
 def _resolved(spark, sf_dir):
@@ -126,23 +126,23 @@ def unresolved_citations(spark, sf_dir):
 
 @register("statute_provisions", STATUTES.over("SELECT doc_id, 'sec_' || seq AS eid, 'section' AS kind, CAST(NULL AS VARCHAR) AS parent_eid, CAST(0 AS INTEGER) AS depth, regexp_extract(text, '^[0-9]+\\. (.*)\\.—', 1) AS heading, '' AS text FROM t UNION ALL SELECT doc_id, 'sec_' || seq || '__subsec_1', 'subsection', 'sec_' || seq, 1, NULL, regexp_extract(text, '—\\(1\\) (.*)$', 1) FROM t"))
 def statute_provisions(spark, sf_dir):
-    return statute.provisions(_parsed(spark, sf_dir)).select("doc_id", "eid", "kind", "parent_eid", "depth", "heading", "text")
+    return statute.provisions(_parsed(spark, sf_dir, "provisions", cite=False)).select("doc_id", "eid", "kind", "parent_eid", "depth", "heading", "text")
 
 
 @register("statute_summary", STATUTES.over(STATUTE_CITES + "SELECT doc_id, CAST(2 * (SELECT top FROM n WHERE n.doc_id = c.doc_id) AS BIGINT) AS provisions, count(*) AS citations, count(*) FILTER (resolved) AS resolved, count(*) FILTER (external) AS external, count(*) FILTER (NOT resolved AND NOT external) AS unresolved FROM c GROUP BY doc_id"))
 def statute_summary(spark, sf_dir):
     """Counts on each document's own row: no join and one pass."""
     size = lambda cond: F.size(F.filter("citations", cond)).cast("bigint")
-    return _parsed(spark, sf_dir).select("doc_id", F.size("provisions").cast("bigint").alias("provisions"), F.size("citations").cast("bigint").alias("citations"), size(lambda c: c["resolved"]).alias("resolved"), size(lambda c: c["external"]).alias("external"), size(lambda c: ~c["resolved"] & ~c["external"]).alias("unresolved"))
+    return _parsed(spark, sf_dir, "provisions").select("doc_id", F.size("provisions").cast("bigint").alias("provisions"), F.size("citations").cast("bigint").alias("citations"), size(lambda c: c["resolved"]).alias("resolved"), size(lambda c: c["external"]).alias("external"), size(lambda c: ~c["resolved"] & ~c["external"]).alias("unresolved"))
 
 
 @register("document_summary", STATUTES.over(STATUTE_CITES + "SELECT doc_id, CAST(2 * (SELECT top FROM n WHERE n.doc_id = c.doc_id) AS BIGINT) AS provisions, count(*) FILTER (resolved) AS resolved FROM c GROUP BY doc_id"))
 def document_summary(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir, "provisions")
     return X.summary(statute.provisions(parsed), statute.citations(parsed)).select("doc_id", "provisions", "resolved")
 
 
-@register("statute_diagnostics")
+@register("statute_diagnostics", LINES.over("SELECT DISTINCT doc_id, 'statute.preamble_recovered' AS code, 1 AS n FROM t"))
 def statute_diagnostics(spark, sf_dir):
     rows = LINES.frame(spark, sf_dir).select("doc_id", (F.col("page_index") * 10 + F.col("reading_order")).alias("seq"), "text", "page_number", F.lit("unknown").alias("note_class"))
     return statute.diagnostics(statute.parse(rows)).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
@@ -150,7 +150,7 @@ def statute_diagnostics(spark, sf_dir):
 
 @register("statute_json")
 def statute_json(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir, "provisions", cite=False)
     return X.statute_json(statute.metadata(parsed), X.nested(statute.provisions(parsed)))
 
 
@@ -321,9 +321,11 @@ def body_font_histogram(spark, sf_dir):
     return buckets.withColumn("total", total).where("chars >= total * 0.1").groupBy("doc_id").agg(F.max("bucket").alias("bucket"))
 
 
-@register("label_runs")
+@register("label_runs", LINES.over(""", p AS (SELECT doc_id, CAST(n AS INTEGER) AS v, page_index * 10 + reading_order AS pos FROM t),
+  r(doc_id, run, v, pos) AS (SELECT doc_id, 1, v, min(pos) FROM p GROUP BY doc_id, v UNION ALL SELECT p.doc_id, r.run + 1, p.v, min(p.pos) FROM r JOIN p ON p.doc_id = r.doc_id AND p.v - r.v BETWEEN 1 AND 3 AND p.pos > r.pos GROUP BY p.doc_id, r.run, p.v)
+  SELECT doc_id, CAST(max(run) AS INTEGER) AS run FROM r GROUP BY doc_id""").replace("WITH t AS", "WITH RECURSIVE t AS", 1))
 def label_runs(spark, sf_dir):
-    listed = LINES.frame(spark, sf_dir).where("reading_order = 8").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "n"))), lambda x: x["n"]).alias("labels"))
+    listed = LINES.frame(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "reading_order", "n"))), lambda x: x["n"]).alias("labels"))
     return listed.select("doc_id", stats.longest_label_run(F.col("labels")).alias("run"))
 
 
@@ -375,15 +377,27 @@ def region_contexts(spark, sf_dir):
 # --- Furniture and labels ------------------------------------------------------------------------------
 
 
-@register("edge_repeats")
+@register("edge_repeats", LINES.over(""", h AS (SELECT doc_id, page_index, page_number % 2 AS parity, 'revenue act of #' AS key, (12 + k % 4 * 7) / 800 AS y, (150 + k % 3 * 30) / 600 AS x FROM t WHERE reading_order = 0),
+  i AS (SELECT h.*, s.y AS start FROM h JOIN (SELECT DISTINCT doc_id, y FROM h) s ON s.doc_id = h.doc_id AND h.y >= s.y AND h.y - s.y <= 0.015),
+  c AS (SELECT DISTINCT doc_id, start, parity, x FROM i),
+  n AS (SELECT c.doc_id, c.start, c.parity, c.x, count(DISTINCT i.page_index) AS pages FROM c JOIN i ON i.doc_id = c.doc_id AND i.start = c.start AND i.parity = c.parity AND i.x >= c.x AND i.x - c.x <= 0.04 GROUP BY ALL),
+  b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, start, parity ORDER BY pages DESC, x DESC) = 1),
+  g AS (SELECT i.* FROM i JOIN b ON b.doc_id = i.doc_id AND b.start = i.start AND b.parity = i.parity AND i.x >= b.x AND i.x - b.x <= 0.04),
+  y AS (SELECT doc_id, start, count(DISTINCT page_index) AS pages FROM g GROUP BY ALL), z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pages DESC, start) = 1),
+  w AS (SELECT doc_id, least(4, greatest(2, ceil(count(DISTINCT page_index) * 0.35))) AS least_pages FROM t GROUP BY doc_id)
+  SELECT g.doc_id, 'top' AS edge, 'revenue act of #' AS key, count(*) AS lines, max(pages) AS pages FROM g JOIN z ON z.doc_id = g.doc_id AND z.start = g.start JOIN w ON w.doc_id = g.doc_id WHERE pages >= least_pages GROUP BY g.doc_id"""))
 def edge_repeats(spark, sf_dir):
-    rows = lines(spark, sf_dir).withColumn("bbox", F.struct(F.lit(100.0).alias("x0"), "y0", F.lit(200.0).alias("x1"), "y1")).drop("page_number")
+    head = F.col("reading_order") == 0
+    y = F.when(head, (12 + F.col("k") % 4 * 7).cast("double")).otherwise(F.lit(300.0))
+    x = (100 + F.col("k") % 3 * 30).cast("double")
+    rows = lines(spark, sf_dir).withColumn("bbox", F.struct(x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 12).alias("y1"))).drop("page_number")
     return furniture.repeated_lines(rows, pages(spark, sf_dir)).groupBy("doc_id", "edge", "key").agg(F.count("*").alias("lines"), F.max("pages").alias("pages"))
 
 
 @register("folio_sequences", LINES.over("SELECT doc_id, count(*) AS folios FROM t WHERE reading_order = 9 GROUP BY doc_id HAVING count(*) >= 4"))
 def folio_sequences(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("reading_order = 9").withColumn("bbox", F.struct(F.lit(290.0).alias("x0"), F.lit(760.0).alias("y0"), F.lit(310.0).alias("x1"), F.lit(775.0).alias("y1"))).drop("page_number")
+    y = F.when(F.col("reading_order") == 9, 760.0).otherwise(F.col("y0") / 2)
+    rows = lines(spark, sf_dir).withColumn("bbox", F.struct(F.lit(290.0).alias("x0"), y.alias("y0"), F.lit(310.0).alias("x1"), (y + 15).alias("y1"))).drop("page_number")
     return furniture.folio_runs(rows, pages(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("folios"))
 
 
@@ -392,9 +406,11 @@ def printed_page_labels(spark, sf_dir):
     return furniture.printed_labels(lines(spark, sf_dir)).select("doc_id", "page_index", "printed_label", "printed_label_source")
 
 
-@register("page_number_offsets", LINES.over("SELECT doc_id, 0 AS \"offset\", count(*) AS votes FROM t WHERE reading_order = 9 GROUP BY doc_id HAVING count(*) >= 3"))
+@register("page_number_offsets", LINES.over(", v AS (SELECT doc_id, CASE WHEN k % 4 = 0 THEN k % 3 ELSE doc_id % 5 END AS o, count(*) AS votes FROM t WHERE reading_order = 9 GROUP BY ALL HAVING count(*) >= 3) SELECT doc_id, CAST(o AS INTEGER) AS \"offset\", votes FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, o) = 1"))
 def page_number_offsets(spark, sf_dir):
-    return furniture.page_offset(lines(spark, sf_dir))
+    shift = F.when(F.col("k") % 4 == 0, F.col("k") % 3).otherwise(F.col("doc_id") % 5)
+    folio = F.concat(F.lit("- "), (F.col("page_number") + shift).cast("string"), F.lit(" -"))
+    return furniture.page_offset(lines(spark, sf_dir).withColumn("text", F.when(F.col("reading_order") == 9, folio).otherwise(F.lit("words")))).select("doc_id", F.col("offset").cast("int").alias("offset"), "votes")
 
 
 @register("top_line_repeats", LINES.over("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, count(DISTINCT page_index) AS pages FROM t WHERE reading_order < 4 GROUP BY ALL HAVING count(DISTINCT page_index) >= 2"))
@@ -427,12 +443,17 @@ def region_islands(spark, sf_dir):
     return regions.region_islands(lines(spark, sf_dir)).select("doc_id", "page_index", F.col("region_no").cast("bigint").alias("region_no"), "kind", "bbox.x0", "bbox.y1", F.size("line_ids").cast("bigint").alias("n_lines"))
 
 
-@register("paragraphs")
+#: Lines are joined by a character that no text has, so that only hyphens at line ends close up.
+JOINED = "replace(regexp_replace(array_to_string(list_filter(list_transform({0}, lambda x: trim(x, ' ')), lambda x: x <> ''), chr(1)), '-\\x01(\\p{{Ll}})', '\\1', 'g'), chr(1), ' ')"
+
+
+@register("paragraphs", LINES.over(", t2 AS (SELECT * REPLACE (CASE WHEN k % 3 = 0 THEN lower(text) ELSE text END AS text) FROM t)" + ISLANDS.replace("FROM t ", "FROM t2 ") + ", p AS (SELECT doc_id, page_index, no, first(region_type) AS region_type, " + JOINED.format("list(text ORDER BY reading_order)") + " AS text FROM g WHERE region_type IN ('body', 'heading') GROUP BY ALL) SELECT doc_id, printf('para-%06d', row_number() OVER (PARTITION BY doc_id ORDER BY page_index, no)) AS paragraph_id, page_index, region_type, text FROM p"))
 def paragraphs(spark, sf_dir):
-    return regions.paragraphs(lines(spark, sf_dir)).select("doc_id", "paragraph_id", "page_index", "region_type", "text")
+    rows = lines(spark, sf_dir).withColumn("text", F.when(F.col("k") % 3 == 0, F.lower("text")).otherwise(F.col("text")))
+    return regions.paragraphs(rows).select("doc_id", "paragraph_id", "page_index", "region_type", "text")
 
 
-@register("joined_page_text", "SELECT doc_id, CAST(length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ')) AS INTEGER) AS n FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
+@register("joined_page_text", f"SELECT doc_id, CAST(length({JOINED.format('string_split(text, chr(10))')}) AS INTEGER) AS n FROM documents")
 def joined_page_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length(T.joined_lines(F.split("text", "\n"))).alias("n"))
 
@@ -460,16 +481,8 @@ def hyphen_faults(spark, sf_dir):
     return regions.hyphen_faults(lines(spark, sf_dir)).select("doc_id", "line_id", "code")
 
 
-@register("nearest_note_bodies", LINES.over(", l AS (SELECT * FROM t WHERE reading_order % 2 = 0), b AS (SELECT doc_id, page_index, line_id AS body_id, x0 AS bx, y0 - (k % 3) * 78 AS by0, y1 - (k % 3) * 78 AS by1 FROM t), m AS (SELECT l.doc_id, l.page_index, line_id, body_id, least(y1, by1) - greatest(y0, by0) AS shared, least(y1 - y0, by1 - by0) AS low, greatest(bx - x1, 0) AS gap, abs(by0 - y0) AS down FROM l JOIN b ON b.doc_id = l.doc_id AND b.page_index = l.page_index AND body_id <> line_id WHERE bx >= x0) SELECT doc_id, page_index, line_id, body_id FROM m WHERE shared > 0 AND low > 0 AND shared / low >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, line_id ORDER BY gap, down, body_id) = 1"))
+@register("nearest_note_bodies", LINES.over(", l AS (SELECT * FROM t), b AS (SELECT doc_id, page_index, line_id AS body_id, x0 AS bx, y0 - (k % 3) * 78 AS by0, y1 - (k % 3) * 78 AS by1 FROM t), m AS (SELECT l.doc_id, l.page_index, line_id, body_id, least(y1, by1) - greatest(y0, by0) AS shared, least(y1 - y0, by1 - by0) AS low, greatest(bx - x1, 0) AS gap, abs(by0 - y0) AS down FROM l JOIN b ON b.doc_id = l.doc_id AND b.page_index = l.page_index AND body_id <> line_id WHERE bx >= x0) SELECT doc_id, page_index, line_id, body_id FROM m WHERE shared > 0 AND low > 0 AND shared / low >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, line_id ORDER BY gap, down, body_id) = 1"))
 def nearest_note_bodies(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    up = (F.col("k") % 3) * 78
-    bodies = rows.withColumn("bbox", F.struct("x0", (F.col("y0") - up).alias("y0"), "x1", (F.col("y1") - up).alias("y1")))
-    return regions.nearest_label(rows.where("reading_order % 2 = 0"), bodies)
-
-
-@register("nearest_note_bodies_all_lines")
-def nearest_note_bodies_all_lines(spark, sf_dir):
     rows = lines(spark, sf_dir)
     up = (F.col("k") % 3) * 78
     bodies = rows.withColumn("bbox", F.struct("x0", (F.col("y0") - up).alias("y0"), "x1", (F.col("y1") - up).alias("y1")))
@@ -530,7 +543,13 @@ def table_rows(spark, sf_dir):
     return layout.table_rows(lines(spark, sf_dir)).select("doc_id", "page_index", "row_no", "cells")
 
 
-@register("overlap_suppression")
+@register("overlap_suppression", LINES.over(""", b AS (SELECT doc_id, page_index, line_id, x0, x1, y0 / 10 AS y0, y1 / 10 + 10 AS y1, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY k DESC, line_id DESC) AS i FROM t),
+  r(doc_id, page_index, i, kept) AS (SELECT doc_id, page_index, 1::BIGINT, [{'id': line_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] FROM b WHERE i = 1
+    UNION ALL SELECT b.doc_id, b.page_index, b.i, CASE WHEN len(list_filter(r.kept, lambda q: greatest(least(q.x1, b.x1) - greatest(q.x0, b.x0), 0) * greatest(least(q.y1, b.y1) - greatest(q.y0, b.y0), 0)
+        / ((q.x1 - q.x0) * (q.y1 - q.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(least(q.x1, b.x1) - greatest(q.x0, b.x0), 0) * greatest(least(q.y1, b.y1) - greatest(q.y0, b.y0), 0)) >= 0.35)) = 0
+      THEN list_append(r.kept, {'id': b.line_id, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}) ELSE r.kept END FROM r JOIN b ON b.doc_id = r.doc_id AND b.page_index = r.page_index AND b.i = r.i + 1),
+  last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY i DESC) = 1)
+  SELECT doc_id, page_index, unnest(list_transform(kept, lambda q: q.id)) AS box_id FROM last""").replace("WITH t AS", "WITH RECURSIVE t AS", 1))
 def overlap_suppression(spark, sf_dir):
     boxes = lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_id").alias("box_id"), F.col("k").alias("score"), F.struct("x0", (F.col("y0") / 10).alias("y0"), "x1", (F.col("y1") / 10 + 10).alias("y1")).alias("bbox"))
     return layout.suppress_overlaps(boxes)
@@ -577,24 +596,24 @@ def note_crossrefs(spark, sf_dir):
     return notes.crossrefs(_notes(spark, sf_dir)).select("doc_id", "source_pair_id", "kind", "number", "resolved", "target_pair_id", "target_count")
 
 
-@register("note_mark_numbers")
+@register("note_mark_numbers", LINES.over(", m AS (SELECT doc_id, page_index * 10 + reading_order AS ordinal, CAST(k % 20 AS VARCHAR) AS pair_id, length(text) AS pos FROM t), f AS (SELECT doc_id, pair_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(ordinal)) AS note_number FROM m GROUP BY doc_id, pair_id) SELECT doc_id, ordinal, pair_id, CAST(note_number AS INTEGER) AS note_number, CAST(pos AS BIGINT) AS \"offset\" FROM m JOIN f USING (doc_id, pair_id)"))
 def note_mark_numbers(spark, sf_dir):
     rows = LINES.frame(spark, sf_dir).select("doc_id", (F.col("page_index") * 10 + F.col("reading_order")).alias("ordinal"), F.concat(F.col("text"), F.lit("⟦FN:"), (F.col("k") % 20).cast("string"), F.lit("⟧ more")).alias("text"))
-    return notes.renumbered(rows)
+    return notes.renumbered(rows).select("doc_id", "ordinal", "pair_id", "note_number", F.col("offset").cast("bigint").alias("offset"))
 
 
-@register("note_propositions")
+@register("note_propositions", LINES.over("SELECT doc_id, CAST(page_index * 10 + reading_order AS INTEGER) AS ordinal, line_id AS pair_id, CASE WHEN text LIKE '%.' THEN text ELSE text || ' more.' END AS sentence, 'It began. ' || text AS passage FROM t WHERE region_type = 'body'"))
 def note_propositions(spark, sf_dir):
     rows = LINES.frame(spark, sf_dir).where("region_type = 'body'").select("doc_id", (F.col("page_index") * 10 + F.col("reading_order")).alias("ordinal"), F.concat(F.lit("It began. "), F.col("text"), F.lit("⟦FN:"), F.col("line_id"), F.lit("⟧ more. It ended.")).alias("text"))
     return notes.propositions(rows)
 
 
-@register("note_pairs")
+@register("note_pairs", LINES.over(", l AS (SELECT doc_id, page_number AS value, page_index, line_id AS label_id FROM t WHERE reading_order = 8), m AS (SELECT doc_id, page_number - CAST(k % 2 AS INTEGER) AS value, page_index, line_id AS ref_id FROM t WHERE reading_order = 4) SELECT l.doc_id, CAST(0 AS INTEGER) AS chain, CAST(l.value AS INTEGER) AS value, label_id, ref_id FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.value = l.value AND m.page_index BETWEEN l.page_index - 1 AND l.page_index"))
 def note_pairs(spark, sf_dir):
     rows = LINES.frame(spark, sf_dir)
     place = F.col("page_index") * 10 + F.col("reading_order")
     labels = rows.where("reading_order = 8").select("doc_id", F.col("page_number").alias("value"), "page_index", place.alias("place"), F.lit(1.0).alias("score"), F.col("line_id").alias("label_id"))
-    marks = rows.where("reading_order = 4").select("doc_id", F.col("page_number").alias("value"), "page_index", place.alias("place"), F.col("line_id").alias("ref_id"))
+    marks = rows.where("reading_order = 4").select("doc_id", (F.col("page_number") - F.col("k") % 2).alias("value"), "page_index", place.alias("place"), F.col("line_id").alias("ref_id"))
     return notes.pair_notes(labels, marks)
 
 
@@ -738,22 +757,16 @@ def constraint_violations(spark, sf_dir):
     return corpus.violations(pages(spark, sf_dir).where("page_index <> 2"), lines(spark, sf_dir))
 
 
-@register("cache_retention", "SELECT o_orderkey AS path FROM (SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS held FROM orders WHERE o_custkey % 50 = 0) WHERE held <= 100000")
+@register("cache_retention", "SELECT o_orderkey AS path FROM (SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS held FROM orders) WHERE held <= 100000")
 def cache_retention(spark, sf_dir):
-    cache = read(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.col("o_orderdate").alias("modified"))
-    return corpus.retained(cache, 100_000).select("path")
-
-
-@register("cache_retention_all_orders")
-def cache_retention_all_orders(spark, sf_dir):
     cache = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("bytes"), F.col("o_orderdate").alias("modified"))
     return corpus.retained(cache, 100_000).select("path")
 
 
-@register("latency_summary", "SELECT count(*) AS batches, CAST(sum(l_linenumber) AS BIGINT) AS lines, s[CAST(ceil((len(list(1)) - 1) * 50 / 100) AS INTEGER) + 1] AS p50 FROM lineitem, (SELECT list_sort(list(l_quantity)) AS s FROM lineitem) GROUP BY s")
+@register("latency_summary", "SELECT count(*) AS batches, CAST(sum(l_linenumber) AS BIGINT) AS lines, any_value(s[CAST(ceil((len(s) - 1) * 50 / 100) AS INTEGER) + 1]) AS p50, any_value(s[CAST(ceil((len(s) - 1) * 95 / 100) AS INTEGER) + 1]) AS p95 FROM lineitem, (SELECT list_sort(list(l_extendedprice)) AS s FROM lineitem)")
 def latency_summary(spark, sf_dir):
-    b = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("lines"), F.lit(1.0).alias("used"), F.lit(2.0).alias("padded"), F.col("l_quantity").alias("seconds"))
-    return corpus.latency_summary(b).select("batches", "lines", "p50")
+    b = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("lines"), F.lit(1.0).alias("used"), F.lit(2.0).alias("padded"), F.col("l_extendedprice").alias("seconds"))
+    return corpus.latency_summary(b).select("batches", "lines", "p50", "p95")
 
 
 # --- Sources ------------------------------------------------------------------------------------------------
@@ -773,14 +786,8 @@ def ocr_table_lines(spark, sf_dir):
     return files.ocr_lines(tsv).select("block_num", "line_num", "text", "bbox.x0", "bbox.x1", F.round("confidence", 6).alias("confidence"))
 
 
-@register("pdf_acceptance", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND length(substr(text, 1, 100)) < 1015")
+@register("pdf_acceptance", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND strlen(text) + 5 <= 1024")
 def pdf_acceptance(spark, sf_dir):
-    content = F.concat(F.substring("text", 1, 100).cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7")).otherwise(F.lit("PDF")).cast("binary"))
-    return read(spark, sf_dir, "documents").where(files.is_pdf(content)).select("doc_id")
-
-
-@register("pdf_acceptance_whole_texts")
-def pdf_acceptance_whole_texts(spark, sf_dir):
     content = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7")).otherwise(F.lit("PDF")).cast("binary"))
     return read(spark, sf_dir, "documents").where(files.is_pdf(content)).select("doc_id")
 
@@ -835,7 +842,7 @@ def detached_marks(spark, sf_dir):
     return marks.detached_references(_spanned(spark, sf_dir), pages(spark, sf_dir).withColumn("separator_y", F.lit(None).cast("double")))
 
 
-@register("spliced_marks")
+@register("spliced_marks", LINES.over(", m AS (SELECT a.doc_id, a.page_index, a.line_id AS source_line_id, CAST(a.n AS VARCHAR) AS note_id, b.line_id, CAST(length(b.text) AS INTEGER) AS \"offset\" FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.page_index = a.page_index AND b.reading_order = a.reading_order - 1 WHERE a.reading_order % 3 = 2 AND a.x1 + 1 BETWEEN b.x0 - 12 AND b.x1 + 12) SELECT * FROM m"))
 def spliced_marks(spark, sf_dir):
     return marks.spliced_markers(_spanned(spark, sf_dir))
 
@@ -865,9 +872,19 @@ def drop_caps(spark, sf_dir):
     return marks.drop_caps(_spanned(spark, sf_dir))
 
 
-@register("running_heads")
+@register("running_heads", LINES.over(""", c AS (SELECT doc_id, page_index, line_id, reading_order AS ro, reading_order * 8 + 4 AS y0, reading_order * 8 + 11 AS y1, x0, x1, CASE WHEN reading_order = 0 OR k % 3 = 0 THEN 8.0 WHEN k % 3 = 1 THEN 8.3 ELSE 12.0 END AS size FROM t),
+  h(doc_id, page_index, ro) AS (SELECT doc_id, page_index, ro FROM c WHERE ro = 0
+    UNION SELECT n.doc_id, n.page_index, n.ro FROM h JOIN c g ON g.doc_id = h.doc_id AND g.page_index = h.page_index AND g.ro = h.ro JOIN c n ON n.doc_id = h.doc_id AND n.page_index = h.page_index
+      WHERE n.ro > 0 AND n.size < 9 AND abs(n.size - g.size) <= 0.5 AND (abs(n.x0 - g.x0) <= 24 OR abs((n.x0 + n.x1) - (g.x0 + g.x1)) / 2 <= 24) AND greatest(n.y0 - g.y1, g.y0 - n.y1) <= 3.5)
+  SELECT c.doc_id, c.page_index, line_id FROM h JOIN c USING (doc_id, page_index, ro) WHERE ro > 0""").replace("WITH t AS", "WITH RECURSIVE t AS", 1))
 def running_heads(spark, sf_dir):
-    return marks.running_heads(_spanned(spark, sf_dir).withColumn("region_type", F.when(F.col("reading_order") == 0, "header").otherwise("body")), pages(spark, sf_dir))
+    first = F.col("reading_order") == 0
+    y = F.col("reading_order") * 8.0
+    size = F.when(first | (F.col("k") % 3 == 0), 8.0).when(F.col("k") % 3 == 1, 8.3).otherwise(12.0)
+    box = F.struct("x0", (y + 4).alias("y0"), "x1", (y + 11).alias("y1"))
+    span = F.struct("text", box.alias("bbox"), size.alias("size"), F.lit(False).alias("superscript"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    rows = lines(spark, sf_dir).withColumns({"bbox": box, "source_index": F.col("reading_order"), "region_type": F.when(first, "header").otherwise("body"), "spans": F.array(span)})
+    return marks.running_heads(rows, pages(spark, sf_dir))
 
 
 @register("note_line_order")
@@ -923,9 +940,15 @@ def edge_folios(spark, sf_dir):
     return LINES.frame(spark, sf_dir).where(shapes.edge_folio(F.col("region_type"), F.col("text"))).select("doc_id", "page_index", "line_id")
 
 
-@register("flow_edges")
+def _flows(region: str, first: str, second: str) -> str:
+    """SQL: the first line, of a body region, goes on in the second."""
+    tail, head, ended, opener = (shapes.PATTERNS[n].replace("'", "''") for n in ("hyphen_tail", "hyphen_head", "sentence_ended", "list_opener"))
+    return f"coalesce({region} = 'body' AND ((regexp_matches(trim({first}), '{tail}') AND regexp_matches({second}, '{head}')) OR (NOT regexp_matches({second}, '{opener}') AND NOT regexp_matches(trim({first}), '{ended}') AND regexp_matches({second}, '^\\p{{Ll}}'))), FALSE)"
+
+
+@register("flow_edges", LINES.over(", s AS (SELECT doc_id, page_index, reading_order, line_id, region_type, CASE WHEN k % 3 = 0 THEN lower(text) ELSE text END AS text FROM t), w AS (SELECT *, lag(text) OVER o AS p, lag(region_type) OVER o AS pr, lead(text) OVER o AS n, lead(region_type) OVER o AS nr FROM s WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY reading_order, line_id)) SELECT doc_id, page_index, line_id, " + _flows("pr", "p", "text") + " AS continues, " + _flows("nr", "text", "n") + " AS goes_on FROM w"))
 def flow_edges(spark, sf_dir):
-    return candidates.flow_edges(lines(spark, sf_dir))
+    return candidates.flow_edges(lines(spark, sf_dir).withColumn("text", F.when(F.col("k") % 3 == 0, F.lower("text")).otherwise(F.col("text"))))
 
 
 @register("heading_candidates", LINES.over("SELECT doc_id, page_index, line_id, substr(text, 1, 1) AS value, 'GENERAL PART' AS title FROM t WHERE reading_order = 3"))
@@ -933,23 +956,19 @@ def heading_candidates(spark, sf_dir):
     return candidates.heading_candidates(lines(spark, sf_dir)).where("plausible").select("doc_id", "page_index", "line_id", "value", "title")
 
 
-@register("contents_rows", LINES.over("SELECT doc_id, page_index, line_id, CAST(8 AS BIGINT) AS entries FROM t WHERE reading_order BETWEEN 1 AND 8 AND page_index IN (SELECT page_index FROM t u WHERE u.doc_id = t.doc_id GROUP BY page_index HAVING count(*) >= 9)"))
+@register("contents_rows", LINES.over("SELECT doc_id, page_index, line_id, count(*) OVER (PARTITION BY doc_id, page_index) AS entries FROM t WHERE region_type NOT IN ('header', 'footer') QUALIFY count(*) OVER (PARTITION BY doc_id, page_index) >= 5"))
 def contents_rows(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    whole = rows.groupBy("doc_id", "page_index").agg(F.count("*").alias("n")).where("n >= 9").drop("n")
-    listed = rows.join(whole, ["doc_id", "page_index"]).withColumn("text", F.concat(F.lit("Part ..... "), F.col("n").cast("string")))
-    return candidates.contents_rows(listed).select("doc_id", "page_index", "line_id", "entries")
-
-
-@register("contents_rows_every_page")
-def contents_rows_every_page(spark, sf_dir):
     listed = lines(spark, sf_dir).withColumn("text", F.concat(F.lit("Part ..... "), F.col("n").cast("string")))
     return candidates.contents_rows(listed).select("doc_id", "page_index", "line_id", "entries")
 
 
-@register("sandwiched_regions")
+@register("sandwiched_regions", LINES.over(""", r AS (SELECT doc_id, page_index, line_id AS region_id, CASE k % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'text' ELSE 'footnote' END AS label, x0, y0, (x0 + x1) / 2 >= 300 AS col, (y0 + y1) / 2 / 800 AS ratio FROM t),
+  s AS (SELECT *, label = 'footnote' AS note, ratio >= 0.6 AS low FROM r), w AS (SELECT *, coalesce(note AND lag(note) OVER o, FALSE) AS two FROM s WINDOW o AS (PARTITION BY doc_id, page_index, col, low ORDER BY y0, x0, region_id)),
+  v AS (SELECT *, coalesce(bool_or(two) OVER (PARTITION BY doc_id, page_index, col, low ORDER BY y0, x0, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS opened, coalesce(bool_or(note) OVER (PARTITION BY doc_id, page_index, col, low ORDER BY y0, x0, region_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), FALSE) AS later FROM w)
+  SELECT doc_id, page_index, region_id, CASE WHEN note AND ratio <= 0.3 THEN 'text' WHEN low AND NOT note AND opened AND later AND label <> 'image' THEN 'footnote' ELSE label END AS label FROM v"""))
 def sandwiched_regions(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_id").alias("region_id"), F.when(F.col("k") % 2 == 0, "footnote").otherwise("text").alias("label"), "bbox", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    label = F.when(F.col("k") % 5 == 0, "image").when(F.col("k") % 5 == 1, "text").otherwise("footnote")
+    rows = lines(spark, sf_dir).select("doc_id", "page_index", F.col("line_id").alias("region_id"), label.alias("label"), "bbox", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
     return candidates.sandwiched(rows)
 
 

@@ -87,6 +87,42 @@ STATUTES = Made(
 )
 
 
+#: A section's lines by the kind of the section (0 to 5), with the target of its citation.
+SECTION_LINES = {
+    0: "concat(rn, '. Levy.—(1) Tax is due on item ', l_partkey, ';', chr(10), '(a) as the proviso to section ', target, ' says;', chr(10), '(i) sub one', chr(10), '(ii) sub two', chr(10), '(b) second clause')",
+    1: "concat(rn, '. Rates.—Flat rate ', l_partkey, chr(10), 'Provided that Explanation 2 to clause (b) of section ', target, ' holds', chr(10), 'Provided further that it is none')",
+    2: "concat(rn, '. Meaning.—(1) clause (b) of sub-section (2) of section ', target, ' is read', chr(10), '(2) two', chr(10), 'Explanation.—three', chr(10), 'Explanation 2.—four')",
+    3: "concat(rn, '. Plain.—1[Text under rule ', target, '(4)', chr(10), 'goes further]')",
+    4: "concat(rn, '. Twice.—(1) section ', target, '(1)(a)(i) has it', chr(10), '(1) as section ', target, ' of the Central Excise Act, 1944 has it')",
+    5: "concat(rn, '. Main.—Subject to section ', target, '(2), it ends', chr(10), rn, 'A. Inserted.—New')",
+}
+#: Whole Acts: front matter, chapters, sections of six kinds, a schedule and a footnote. One row for each section.
+ACTS = Made(
+    "lineitem",
+    (
+        {"*": "*", "rn": NUMBERED["rn"].replace("PARTITION BY l_suppkey ORDER BY l_orderkey", "PARTITION BY l_orderkey ORDER BY l_suppkey"), "top": "count(*) OVER (PARTITION BY l_orderkey)"},
+        {"*": "*", "kind": "CAST((l_partkey + rn) % 6 AS INT)", "target": "CAST(l_partkey % 7 + 1 AS INT)"},
+        {
+            "doc_id": "l_orderkey",
+            "seq": "CAST(rn AS INT)",
+            "top": "CAST(top AS INT)",
+            "kind": "kind",
+            "target": "target",
+            "k": "l_partkey",
+            "text": "concat(CASE WHEN rn = 1 THEN concat('THE LEVY OF ITEMS ACT, ', 2000 + l_orderkey % 20, chr(10), 'Act 12 of ', 2000 + l_orderkey % 20, chr(10), 'CHAPTER I', chr(10), 'PRELIMINARY', chr(10)) WHEN rn = 4 THEN concat('CHAPTER II', chr(10), 'RATES', chr(10)) ELSE '' END, CASE kind "
+            + " ".join(f"WHEN {k} THEN {e}" for k, e in SECTION_LINES.items())
+            + " END, CASE WHEN rn = top THEN concat(chr(10), 'SCHEDULE I', chr(10), '1. first item', chr(10), '(a) inside', chr(10), '2. second item', chr(10), '1. Subs. by Act 12 of 2020, s. 118, for \"old\" (w.e.f. 1-1-2021).') ELSE '' END)",
+        },
+    ),
+)
+
+
+def act_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ACTS as the statute reader takes them."""
+    cut = ACTS.frame(spark, sf_dir).select("doc_id", F.col("seq").alias("section"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return cut.select("doc_id", (F.col("section") * 100 + F.col("at")).alias("seq"), "text", F.lit(1).alias("page_number"), F.lit("unknown").alias("note_class"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LINES with boxes and spans as the library's operators take them."""
     df = LINES.frame(spark, sf_dir)

@@ -137,6 +137,48 @@ def numbered_supra(text: str) -> bool:
     return bool(NUMBERED_SUPRA.search(text))
 
 
+def paragraphs_under(element: ElementTree.Element) -> list[ElementTree.Element]:
+    """The outermost paragraphs at or below an element, in order; a paragraph inside one of them is not listed."""
+    if element.tag == f"{W}p":
+        return [element]
+    return [p for child in element for p in paragraphs_under(child)]
+
+
+def with_bookmarks(xml: bytes, references: list[int], ordinals: set[int], prefix: str = "SupraNote") -> tuple[bytes, dict[int, str], int]:
+    """A document part with a bookmark round the run that first refers to each note asked for.
+
+    references: note ids in order of their numbers; ordinals: the numbers asked for, from 1. Gives the part, the
+    names of the bookmarks that are there, and how many were added. A name that the part has already stays; a number
+    without a reference gets no name.
+    """
+    ElementTree.register_namespace("w", W.strip("{}"))
+    root = ElementTree.fromstring(xml)
+    starts = list(root.iter(f"{W}bookmarkStart"))
+    known = {e.get(f"{W}name") for e in starts}
+    free = max((int(e.get(f"{W}id", "0")) for e in starts), default=0) + 1
+    targets: dict[int, tuple[ElementTree.Element, ElementTree.Element]] = {}
+    for parent in root.iter():
+        for run in parent:
+            if run.tag == f"{W}r":
+                for reference in run.iter(f"{W}footnoteReference"):
+                    targets.setdefault(int(reference.get(f"{W}id", "0")), (parent, run))
+    names, added = {}, 0
+    for ordinal in sorted(ordinals):
+        if not 1 <= ordinal <= len(references):
+            continue
+        name = f"{prefix}{ordinal}"
+        if name not in known:
+            if references[ordinal - 1] not in targets:
+                continue
+            parent, run = targets[references[ordinal - 1]]
+            at = list(parent).index(run)
+            parent.insert(at, ElementTree.Element(f"{W}bookmarkStart", {f"{W}id": str(free), f"{W}name": name}))
+            parent.insert(at + 2, ElementTree.Element(f"{W}bookmarkEnd", {f"{W}id": str(free)}))
+            free, added = free + 1, added + 1
+        names[ordinal] = name
+    return ElementTree.tostring(root, encoding="utf-8", xml_declaration=True), names, added
+
+
 def read_units(files: DataFrame) -> DataFrame:
     """Units of Word files (path, content): path, kind, number, text, references, fault (of a refused file)."""
     unit = pa.list_(pa.struct([("kind", pa.string()), ("number", pa.int32()), ("text", pa.string()), ("references", pa.list_(pa.int32()))]))

@@ -29,6 +29,11 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length").between(1, MOST_BYTES))
 
 
+def asset_digests(files: DataFrame) -> DataFrame:
+    """The SHA-256 of every file of read_binary, each path once however often it is listed."""
+    return files.select("path", "length", "content").dropDuplicates(["path"]).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def is_pdf(content: Column) -> Column:
     """The signature stands in the first kilobyte."""
     return F.instr(F.decode(F.substring(content, 1, SIGNATURE_BYTES), "ISO-8859-1"), SIGNATURE) > 0

@@ -21,7 +21,7 @@ def test_retention_of_all_orders(spark):
                 expected.add(r.o_orderkey)
         assert {r.path for r in corpus.retained(cache, limit).collect()} == expected
         if limit == 100_000:
-            assert {r.path for r in catalog.queries()["cache_retention_all_orders"](spark, SF).collect()} == expected
+            assert {r.path for r in catalog.queries()["cache_retention"](spark, SF).collect()} == expected
 
 
 def test_joined_page_text_keeps_wrapped_words_and_nulls(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_contents_rows_of_every_page(spark):
     listed = {k: [r.line_id for r in rows if r.region_type not in ("header", "footer")] for k, rows in pages.items()}
     expected = {(*k, line, len(ids)) for k, ids in listed.items() if len(ids) >= 5 for line in ids}
     assert any(n < 8 for *_, n in expected)
-    assert {tuple(r) for r in catalog.queries()["contents_rows_every_page"](spark, SF).collect()} == expected
+    assert {tuple(r) for r in catalog.queries()["contents_rows"](spark, SF).collect()} == expected
 
 
 def test_pdf_acceptance_of_whole_texts(spark):
@@ -54,7 +54,7 @@ def test_pdf_acceptance_of_whole_texts(spark):
     content = {r.doc_id: (r.text or "").encode() + (b"%PDF-1.7" if r.doc_id % 2 == 0 else b"PDF") for r in docs if r.text is not None}
     expected = {k for k, c in content.items() if b"%PDF-" in c[:1024]}
     assert 0 < len(expected) < sum(r.doc_id % 2 == 0 for r in docs)
-    assert {r.doc_id for r in catalog.queries()["pdf_acceptance_whole_texts"](spark, SF).collect()} == expected
+    assert {r.doc_id for r in catalog.queries()["pdf_acceptance"](spark, SF).collect()} == expected
 
 
 def test_nearest_note_bodies_of_all_lines(spark):
@@ -72,4 +72,4 @@ def test_nearest_note_bodies_of_all_lines(spark):
                     met.append((max(b.x0 - a.x1, 0), abs(y0 - a.y0), b.line_id))
             if met:
                 expected.add((*k, a.line_id, min(met)[2]))
-    assert {tuple(r) for r in catalog.queries()["nearest_note_bodies_all_lines"](spark, SF).collect()} == expected
+    assert {tuple(r) for r in catalog.queries()["nearest_note_bodies"](spark, SF).collect()} == expected

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, overlap, shingle_bags, signatures
-from .common import mix, slices, stored, text_buffers
+from .common import discard, mix, slices, stored, text_buffers
 from .components import Groups, connected_components
 
 BANDS = 32
@@ -141,8 +141,11 @@ def block_overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray,
     return total
 
 
-def group_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, threshold: float, block_rows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links between members of different components that share a leader's buckets: (a, b), a star for each local group."""
+def group_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, threshold: float, block_rows: int, scratch: list[DataFrame], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links between members of different components that share a leader's buckets: (a, b), a star for each local group.
+
+    scratch takes what is stored on the way.
+    """
     spark = crowded.sparkSession
     placed = stored(crowded.join(joined, crowded.rep == joined.node, "left").select("bucket", "rep", "leader", F.coalesce("component", "rep").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
@@ -152,12 +155,17 @@ def group_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, thresho
     parts = lambda n, size: F.greatest(F.ceil(n / block_rows), F.ceil(size / block_bytes))
     sizes = runs.groupBy("family", "component").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).withColumn("large", parts(F.col("n"), F.col("bytes")) > 1)
     # Blocks: a large component's own, or those that a group's small components share.
-    small = sizes.where("not large").groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    kinds = sizes.where("large").select("family", "component", F.col("component").alias("own"), parts(F.col("n"), F.col("bytes")).alias("parts"))
-    shared = sizes.where("not large").select("family", "component").join(small.select("family", F.lit(None).cast("bigint").alias("own"), parts(F.col("n"), F.col("bytes")).alias("parts")), "family")
-    of_run = runs.select("family", "component", "s").join(kinds.unionByName(shared), ["family", "component"])
+    own = sizes.where("large").select("family", "component", F.col("component").alias("own"), parts(F.col("n"), F.col("bytes")).alias("parts"))
+    # The sums of a group's small components come to each (group, salt), so that a group of very many is not one key.
+    little = sizes.where("not large").withColumn("c", F.pmod(F.xxhash64("component"), F.lit(SALTS)))
+    whole = Window.partitionBy("family")
+    small = little.groupBy("family", "c").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("family", "c", parts(F.sum("n").over(whole), F.sum("bytes").over(whole)).alias("parts"))
+    shared = little.select("family", "component", "c").join(small, ["family", "c"]).select("family", "component", F.lit(None).cast("bigint").alias("own"), "parts")
+    kinds = own.unionByName(shared)
+    of_run = runs.select("family", "component", "s").join(kinds, ["family", "component"])
     cut = members.join(of_run, ["family", "component", "s"]).select("rep", "family", "own", F.xxhash64("family", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("rep", F.lit(1)), "parts")).alias("block"))
     cut = stored(cut, "cut")
+    scratch += [placed, members, cut]
     blocks = cut.select("family", "own", "block").distinct()
     other = blocks.select(F.col("family"), F.col("own").alias("own2"), F.col("block").alias("block2"))
     tasks = blocks.join(other, "family").where("block <= block2 and not (own is not null and own2 is not null and own = own2)").select("block", "block2", F.xxhash64("block", "block2").alias("task"))
@@ -201,8 +209,11 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
     # The same plan at every size: what the broadcast of a short list saves would be gone where the list is long.
     texts = stored(source.join(nodes.hint("merge"), "node").withColumn("bytes", F.octet_length("text")), "texts")
     joined = stored(connected_components(verify(pairs, texts, threshold, block_rows)), "joined")
-    more = group_links(crowded, joined, texts, threshold, block_rows)
+    scratch = [crowded, pairs, texts, joined]
+    more = group_links(crowded, joined, texts, threshold, block_rows, scratch)
     classes = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for df in scratch:  # the classes are stored now and read none of it
+        discard(df)
     # A text's class comes to each (digest, salt) of its documents, so that a text of very many is not one key.
     salted = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("s"))
     of_digest = unique.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))

@@ -93,6 +93,29 @@ def test_classes_equal_brute_force(spark, block_rows):
     assert got == {i: (c, c == i) for i, c in enumerate(expected)}
 
 
+def test_very_long_texts_and_a_text_of_a_third_of_all_rows(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(300_000)]
+    near = list(long)
+    near[1000] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:200_000]))] + [(10 + k, "the same words in many rows here") for k in range(400)] + [(1000 + k, " ".join(word() for _ in range(9))) for k in range(800)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=16).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3
+    assert {got[10 + k] for k in range(400)} == {10} and all(got[1000 + k] == 1000 + k for k in range(800))
+
+
+def test_no_stored_step_is_left_behind_but_what_the_result_reads(spark, tmp_path, monkeypatch):
+    from lexweave import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(planted())], "doc_id long, text string")
+    out = neardup.near_duplicate_classes(df)
+    left = sorted({p.name.split("-")[1] for p in tmp_path.iterdir()})
+    assert left == ["edges", "signed", "unique"]
+    assert out.count() == df.count()
+
+
 def test_keeping_one_of_each_class_with_repeats_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words here"), (None, "a b c d e f"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

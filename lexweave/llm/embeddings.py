@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import Groups, connected_components
 from .topk import finite
 
@@ -209,6 +209,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, total * (total + 1) // 2))
     dealt = placed.mapInArrow(deal, "pair bigint, side boolean, rep bigint, w bigint, v array<double>").repartition(tasks, "pair")
     found = stored(dealt.groupBy("pair").applyInArrow(compare, "rep bigint, links bigint, root bigint"), "links")
+    discard(placed)
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     merged = copies.select("h", "g", "rep", "w").join(counted, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -82,6 +82,38 @@ def test_large_components_are_exact_and_an_empty_table_has_no_rows(spark):
     assert topk.top_inner_products(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0], ""), (0, [2.0, 0.0], ""), (5, [3.0, 0.0], ""), (5, [3.0, 0.0], ""), (None, [9.0, 9.0], ""), (7, [0.5, 0.0], "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_inner_products(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 5, 1024 * 3072), (0, 5, 1024 * 3072), (0, 7, 1024 * 512)]  # the id asks once, with its least vector
+    many = spark.range(3000).selectExpr("9 as vec_id", "array(float(1), float(id % 5)) as embedding", "'' as rank").unionByName(df)
+    found = topk.top_inner_products(many, F.col("vec_id") == 0, k=10, shard_rows=100).collect()
+    assert [r.score for r in sorted(found, key=lambda r: r["rank"])] == [3072 * 1024] * 2 + [1024 * 1024] * 8
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert linked == {0: (2, 0), 5: (2, 0), 7: (2, 0), None: (0, None)}
+
+
+def test_cells_of_tight_clusters_are_sent_to_few_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    points = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.02, size=(3000, 32))
+    df = spark.createDataFrame([(int(i), [float(x) for x in v], "") for i, v in enumerate(points)], "vec_id long, embedding array<double>, rank string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, block_rows=300).collect()}
+    u = embeddings.unit(points)
+    near = u @ u.T >= 0.9
+    assert {i: n for i, (n, _) in got.items()} == {i: int(near[i].sum()) - 1 for i in range(3000)}
+    first, parts, total = embeddings.blocks_of({c: 50 for c in range(60)}, embeddings.unit(centres), 300)
+    assert total == 10 and set(parts.values()) == {1} and sorted(np.bincount(list(first.values()))) == [6] * 10
+
+
+def test_a_hub_and_long_chains_settle(spark):
+    hub = spark.range(1, 5001).selectExpr("id as a", "0L as b")
+    chain = spark.range(10_000, 12_000).selectExpr("id as a", "id + 1 as b").repartition(7)
+    got = connected_components(hub.unionByName(chain)).groupBy("component").count().collect()
+    assert sorted((r.component, r["count"]) for r in got) == [(0, 5001), (10_000, 2001)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 40)] + [(7, 7), (None, 3), (500, 400)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

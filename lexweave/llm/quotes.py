@@ -53,14 +53,22 @@ def parse(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFram
 
 
 def passages(parsed: DataFrame) -> DataFrame:
-    """conv, turn, level, passage: the distinct normalised paragraphs and lines of every level."""
-    levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
-    of_level = parsed.select("conv", "turn", "lines", F.explode(levels).alias("level"))
-    only = F.transform("lines", lambda x: F.when(x["level"] == F.col("level"), x["content"]).otherwise(F.lit("")))
-    texts = of_level.select("conv", "turn", "level", only.alias("only"))
-    both = F.concat(F.split(F.array_join("only", "\n"), r"\n[ \t\r\f\x0b]*\n"), F.col("only"))
-    units = F.array_distinct(F.filter(F.transform(both, _normal), lambda x: x != ""))
-    return texts.select("conv", "turn", "level", F.explode(units).alias("passage"))
+    """conv, turn, level, passage: the distinct normalised paragraphs and lines of every level.
+
+    Lines are joined with their level in front and an empty line wherever the level changes, so that one split
+    gives the paragraphs of all levels, however many a message has.
+    """
+
+    def marked(x: Column, i: Column) -> Column:
+        text = F.when(x["content"].rlike(r"^[ \t\r\f\x0b]*$"), "").otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["content"]))
+        return F.when((i > 0) & (F.get("lines", i - 1)["level"] != x["level"]), F.concat(F.lit("\n"), text)).otherwise(text)
+
+    pieces = F.split(F.array_join(F.transform("lines", marked), "\n"), r"\n[ \t\r\f\x0b]*\n")
+    level = lambda p: F.regexp_extract(p, r"\x01(\d+)\x02", 1)
+    paragraphs = F.transform(F.filter(pieces, lambda p: level(p) != ""), lambda p: F.struct(level(p).cast("int").alias("level"), _normal(F.regexp_replace(p, r"(?m)^\x01\d+\x02", "")).alias("passage")))
+    singles = F.transform("lines", lambda x: F.struct(x["level"].cast("int").alias("level"), _normal(x["content"]).alias("passage")))
+    units = F.array_distinct(F.filter(F.concat(paragraphs, singles), lambda u: u["passage"] != ""))
+    return parsed.select("conv", "turn", F.inline(units))
 
 
 def links(parsed: DataFrame) -> DataFrame:

@@ -60,3 +60,17 @@ def test_an_empty_table_and_no_python(spark):
     assert quotes.reply_order(frame(spark, ROWS[:1]).limit(0)).count() == 0
     plan = op10_quotation_linking(spark, "/root/testdata/sf0.001").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_deep_nesting_and_very_long_messages(spark):
+    deep = "\n".join(">" * k + f" level {k}" for k in range(1, 400))
+    rows = [(1, 0, "user", "level 7\n\nA long one.\n" + "\n".join(f"line {k}" for k in range(30_000))), (1, 1, "assistant", deep), (1, 2, "user", "\n".join(f"> line {k}" for k in range(30_000)) + "\nSeen.")]
+    out = {r.turn: r for r in quotes.reply_order(frame(spark, rows)).collect()}
+    assert out[1].quote_depth == 399 and out[1].n_quoted == 399 and out[1].n_linked == 1 and out[1].text == ""
+    assert out[2].parent_turn == 0 and out[2].text == "Seen." and out[2].n_quoted == 30_000
+
+
+def test_passages_are_paragraphs_and_lines_of_one_level(spark):
+    text = "Own words\nover two lines\n\t\n> first\n> second\n>\n> third\n>> inner\n> fourth\n\x015\x02 odd"
+    rows = quotes.passages(quotes.parse(frame(spark, [(1, 0, "u", text)]), "conv_id", "turn", "role", "text")).collect()
+    assert sorted((r.level, r.passage) for r in rows) == sorted([(0, "own words over two lines"), (0, "own words"), (0, "over two lines"), (1, "first second"), (1, "first"), (1, "second"), (1, "third"), (1, "fourth"), (2, "inner"), (0, "\x015\x02 odd")])

@@ -1,4 +1,5 @@
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,60 @@ def test_held_out_accuracy_of_quality(spark):
     out = rows.join(labels, "doc_id").where("held_out").collect()
     assert len(out) > 500
     assert sum(r.predicted == r.quality for r in out) > 0.97 * len(out)
+
+
+def test_predictions_equal_those_of_plain_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in op2_hyperdimensional_langid(spark, "/root/testdata/sf0.001").collect()}
+    grams = {}
+
+    def bundle(text):
+        letters = [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
+        kept = [c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " "]
+        total = np.zeros(langid.DIMENSIONS)
+        for gram in zip(kept, kept[1:], kept[2:]):
+            if gram[1] != " ":
+                if gram not in grams:
+                    grams[gram] = np.prod([np.roll(langid.letter_vector(ord(c), langid.DIMENSIONS).astype(int), 2 - k) for k, c in enumerate(gram)], axis=0)
+                total += grams[gram]
+        return total
+
+    vectors = {d.doc_id: bundle(d.text) for d in docs}
+    sums = {}
+    for d in docs:
+        if d.lang is not None and d.text is not None and zlib.crc32(str(d.doc_id).encode()) % 5:
+            sums[d.lang] = sums.get(d.lang, 0) + vectors[d.doc_id]
+    languages = sorted(sums)
+    for d in docs:
+        v = vectors[d.doc_id]
+        if not any(c.isalpha() for c in d.text or ""):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        near = [v @ sums[x] / np.linalg.norm(v) / np.linalg.norm(sums[x]) for x in languages]
+        assert got[d.doc_id].score == pytest.approx(max(0, max(near)), abs=1e-5)
+        assert near[languages.index(got[d.doc_id].lang_pred)] == pytest.approx(max(near), abs=1e-5)
+
+
+def test_languages_of_empty_tables_repeated_nulls_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "the thing and the other", "en", "x", 2), (None, None, None, "x", 2), (None, None, None, "x", 2), (1, "le la les des", "fr", "x", 2)], "doc_id long, text string, lang string, lang_pred string, score int")
+    languages, profile = langid.prototypes(df)
+    rows = langid.predict(df, languages, profile).collect()
+    assert sorted((r.lang_pred, r.doc_id is None) for r in rows) == [("en", True), ("fr", False), ("und", True), ("und", True)]
+    assert langid.predict(df.limit(0), languages, profile).count() == 0
+
+
+def test_document_scores_are_length_weighted_marginals():
+    rng = np.random.default_rng(8)
+    words = ["plain", "Words", "$$$", "12", "end.", "x"]
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 5))) for _ in range(rng.integers(1, 8))) for _ in range(60)]
+    chain = quality.train(texts, [k % 2 for k in range(60)], rounds=15)
+    scores = chain.scores(*text_buffers(pa.array(texts)))
+    for t, score in zip(texts, scores):
+        text, size, own = quality.line_features(*text_buffers(pa.array([t])))
+        if not len(text):
+            assert score == chain.blank
+            continue
+        wide = (own - chain.mean) / chain.scale
+        rows = [np.concatenate([wide[k], wide[k - 1] if k else 0 * wide[k], wide[k + 1] if k + 1 < len(wide) else 0 * wide[k], [1]]) for k in range(len(wide))]
+        good = brute_marginals(chain, [r @ chain.weights for r in rows])
+        assert score == pytest.approx(float(np.dot(good, size) / size.sum()))

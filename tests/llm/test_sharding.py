@@ -60,3 +60,26 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     sharding.write_shards(docs, sharding.hilbert_shards(docs, 4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
+
+
+def test_shards_and_slots_are_those_of_one_global_sort(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in op1_hilbert_shards(spark, "/root/testdata/sf0.001").collect()}
+    bins = docs.select("doc_id", "text", *(sharding.category_bin(F.col(c), 6).alias(c) for c in ("lang", "source")))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + sharding.ROW_BYTES
+    rows = bins.select("doc_id", size.alias("size"), "lang", "source", sharding.size_bin(size, 6).alias("third"), F.pmod(F.xxhash64("doc_id"), F.lit(int(docs.count() ** 0.5) + 1)).alias("salt")).collect()
+    curve = sharding.hilbert_index(np.array([(r.lang, r.source, r.third) for r in rows]), 6)
+    order = sorted(range(len(rows)), key=lambda k: (curve[k], rows[k].salt, rows[k].doc_id))
+    total, before, slots = sum(r.size for r in rows), 0, [0] * 24
+    for k in order:
+        r = rows[k]
+        shard = min(23, (2 * before + r.size) * 24 // (2 * total))
+        assert (got[r.doc_id].curve, got[r.doc_id].shard, got[r.doc_id].slot) == (curve[k], shard, slots[shard])
+        slots[shard] += 1
+        before += r.size
+
+
+def test_null_ids_have_slots_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a", "en", "s"), (None, "a", "en", "s"), (None, None, None, None), (1, "b", "en", "s")], "doc_id long, text string, lang string, source string")
+    rows = sharding.hilbert_shards(df, shards=2).collect()
+    assert len(rows) == 4 and len({(r.shard, r.slot) for r in rows}) == 4

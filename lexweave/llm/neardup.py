@@ -212,8 +212,8 @@ def near_duplicate_classes(df: DataFrame, threshold: float = 0.8, id_column: str
     scratch = [crowded, pairs, texts, joined]
     more = group_links(crowded, joined, texts, threshold, block_rows, scratch)
     classes = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    for df in scratch:  # the classes are stored now and read none of it
-        discard(df)
+    for step in scratch:  # the classes are stored now and read none of it
+        discard(step)
     # A text's class comes to each (digest, salt) of its documents, so that a text of very many is not one key.
     salted = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("s"))
     of_digest = unique.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))

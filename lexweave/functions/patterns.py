@@ -23,7 +23,7 @@ NOTE_TAIL = (
     r"(?:brought\s+into\s+force|come\s+into\s+force|force\s+came\s+into\s+force|commenced\s+on|with\s+effect\s+from|effective\s+from)\b"
 )
 DIVISION = (
-    r"^(?i:(?:THE\s+)?(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENT)?\s*(?:CHAPTER|PART|SCHEDULE)S?(?:\s+[ivxlcdm]+)?)"
+    r"(?i:^(?:THE\s+)?(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENT)?\s*(?:CHAPTER|PART|SCHEDULE)S?(?:\s+[ivxlcdm]+)?)"
     r"(?:\s+[A-Z]{1,3}|\s+[0-9]{1,3})?(?:-\s?[A-Z]{1,3})?(?:\s*[:—–]+\s*\S.*)?\s*$"
 )
 DIVISION_TITLE = r"^[A-Z][A-Z0-9 ,.'()/&-]*[A-Z0-9)]$"

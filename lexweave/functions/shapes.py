@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|janvier|f[ée]vrier|mars|avril|mai|juin|juillet|ao[uû]t|septembre|octobre|novembre|d[ée]cembre)"
 RUN_ON_WORDS = (
-    *("A", "AN", "THE", "AND", "OR", "NOR", "BUT", "OF", "FOR", "TO", "IN", "ON", "AT", "BY", "WITH", "FROM", "INTO", "UPON", "UNDER", "OVER", "THROUGH", "BETWEEN", "AGAINST", "ABOUT", "AS"),
-    *("V", "VS", "VERSUS", "INCLUDING", "REGARDING", "CONCERNING", "WITHIN", "WITHOUT", "&", "DE", "DU", "DES", "LA", "LE", "LES", "ET", "EN", "AU", "AUX", "POUR", "SUR", "PAR"),
+    "A", "AN", "THE", "AND", "OR", "NOR", "BUT", "OF", "FOR", "TO", "IN", "ON", "AT", "BY", "WITH", "FROM", "INTO", "UPON", "UNDER", "OVER", "THROUGH", "BETWEEN", "AGAINST", "ABOUT", "AS",
+    "V", "VS", "VERSUS", "INCLUDING", "REGARDING", "CONCERNING", "WITHIN", "WITHOUT", "&", "DE", "DU", "DES", "LA", "LE", "LES", "ET", "EN", "AU", "AUX", "POUR", "SUR", "PAR",
 )
 PATTERNS = {
     "standalone_enumerator": r"^\s*([IVXLCDM]{1,7}|[A-Za-z]|\d{1,3}|\d{1,2}(?:\.\d{1,2}){1,3})([.)])\s*$",

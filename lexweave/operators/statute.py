@@ -108,7 +108,7 @@ class Reader:
         n = self.seen[base] = self.seen.get(base, 0) + 1
         if n == 1:
             return base
-        self.warn("duplicate_provision_eid", f"collision {n} on {kind} base {base} on page {page}")
+        self.warn("duplicate_provision_eid", f"the eId {base} of a {kind} on page {page} is taken already, {n - 1} time(s)")
         return f"{base}__dup{n}"
 
     def inner(self, *levels: str) -> int | None:
@@ -171,7 +171,7 @@ class Reader:
         elif self.rows[self.roots[-1]]["kind"] == "chapter":
             self.extend(self.roots[-1], text, page)
         else:
-            self.warn("orphan_line", f"line matches no statutory construct and no provision is open: {text}")
+            self.warn("orphan_line", f"no open provision takes this line: {text}")
 
     # -- openers, in order of precedence; each says whether it took the line
 
@@ -198,9 +198,9 @@ class Reader:
         if stub is not None and stub != current:
             self.roots.remove(stub)
             self.roots_by_eid[eid].remove(stub)
-            self.warn("empty_section_stub_replaced", f"section {number} replaces an empty stub minted from an orphan line")
+            self.warn("empty_section_stub_replaced", f"the empty section {number} found before gives way to this one")
         elif stub is None and held:
-            self.warn("duplicate_section_number", f"section {number} repeats an existing eId; kept as continuation text")
+            self.warn("duplicate_section_number", f"section {number} occurs again, and its line is read as text")
             self.proceed(text, page)
             return True
         self.close("section")
@@ -333,7 +333,7 @@ class Reader:
                 if self.notes and self.notes[-1]["page"] == page:
                     self.notes[-1]["raw"] += f" {text}"
                     continue
-                self.warn("note_tail_unattached", f"note tail matched no open note: {text}")
+                self.warn("note_tail_unattached", f"the end of a note without its beginning: {text}")
             body.append((text, page))
         finish()
         return body
@@ -347,7 +347,7 @@ class Reader:
             before = text
         self.close("section")
         if self.preamble:
-            self.warn("preamble_recovered", f"{len(self.preamble)} pre-section line(s) recovered into act_preamble")
+            self.warn("preamble_recovered", f"front matter of {len(self.preamble)} line(s) stands before the first provision")
             row = self.add("chapter", "act_preamble", "PREAMBLE", " ".join(t for t, _ in self.preamble), 0)
             self.rows[row]["pages"] = sorted({p for _, p in self.preamble})
             self.roots.insert(0, row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import candidates, insets, ladder, layout, lookup, statute, typography
+from lexweave.operators import candidates, classify, insets, ladder, layout, lookup, statute, typography
 from lexweave.plans.catalog import register
 from lexweave.plans.synthetic import ACTS, LINES, act_lines, lines, pages
 
@@ -408,3 +408,23 @@ def act_diagnostics(spark, sf_dir):
 @register("act_titles", ACTS.over("SELECT doc_id, 'The Levy of Items Act, ' || (2000 + doc_id % 20) AS title, 'Act 12 of ' || (2000 + doc_id % 20) AS act_number, CAST(2000 + doc_id % 20 AS VARCHAR) AS act_year FROM t WHERE seq = 1"))
 def act_titles(spark, sf_dir):
     return statute.metadata(statute.parse(act_lines(spark, sf_dir), parts=("provisions",))).select("doc_id", "title", "act_number", "act_year")
+
+
+# --- Region types -------------------------------------------------------------------------------------------------
+
+
+@register(
+    "classified_lines",
+    LINES.over(
+        """, p AS (SELECT doc_id, least(4, greatest(2, ceil(count(DISTINCT page_index) * 0.35))) AS needed, count(*) FILTER (reading_order = 0) AS heads, count(*) FILTER (reading_order = 9) AS folios FROM t GROUP BY doc_id)
+        SELECT t.doc_id, page_index, line_id, CASE WHEN reading_order = 0 AND heads >= needed THEN 'header' WHEN reading_order = 9 AND folios >= needed THEN 'footer' WHEN reading_order = 8 AND k % 3 <> 0 THEN 'footnote' WHEN reading_order = 3 THEN 'heading' ELSE 'body' END AS region_type,
+               CAST(row_number() OVER (PARTITION BY t.doc_id, page_index ORDER BY reading_order) - 1 AS INTEGER) AS block_index FROM t JOIN p ON p.doc_id = t.doc_id"""
+    ),
+)
+def classified_lines(spark, sf_dir):
+    y = F.when(F.col("reading_order") == 9, 740.0).otherwise(F.col("reading_order") * 75.0 + 12)
+    box = F.struct(F.lit(100.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 12).alias("y1"))
+    size = F.when((F.col("reading_order") == 8) & (F.col("k") % 3 != 0), 8.0).otherwise(10.0)
+    span = F.struct("text", size.alias("size"), F.lit(False).alias("superscript"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    rows = lines(spark, sf_dir).withColumns({"bbox": box, "spans": F.array(span)})
+    return classify.classify(rows, pages(spark, sf_dir)).select("doc_id", "page_index", "line_id", "region_type", "block_index")

@@ -1,12 +1,13 @@
 """Operators over typography, markers, detections and units against plain Python."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave import storage
-from lexweave.functions import locators, stats
+from lexweave.functions import locators, shapes, stats
 from lexweave.operators import candidates, corpus, furniture, insets, ladder, layout, lookup, notes
 from lexweave.sources import docx, files
 
@@ -273,3 +274,15 @@ def test_block_quotes_against_plain_python(spark):
     regions = spark.createDataFrame(rows, "doc_id int, page_index int, region_id int, label string, bbox struct<x0:double,y0:double,x1:double,y1:double>, score double, line_count int, page_width double, page_height double")
     got = {(r.page_index, r.region_id): r.label for r in insets.block_quotes(regions).collect()}
     assert got == expected and set(expected.values()) == {"text", "footnote", "block_quote"}
+
+
+def test_json_forms(spark):
+    value = F.struct(F.lit("a, b: c").alias("text"), F.array(F.lit(1), F.lit(2)).alias("n"))
+    row = spark.range(1).select(files.pretty_json(value).alias("pretty"), files.spaced_json(value).alias("spaced")).first()
+    assert json.loads(row.pretty) == {"text": "a, b: c", "n": [1, 2]} and "\n" in row.pretty
+    assert row.spaced == '{"text": "a, b: c", "n": [1, 2]}'
+
+
+@pytest.mark.parametrize("text, heading", [("GENERAL PART", True), ("II. General Part", True), ("II. General Part.", False), ("a) of the whole", False), ("12 NOTE TEXT", False), ("", False), ("Plain words", False), ("X" * 91, False)])
+def test_heading_styles(spark, text, heading):
+    assert spark.range(1).select(shapes.heading_style(F.lit(text)).alias("h")).first().h == heading

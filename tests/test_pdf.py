@@ -1,6 +1,6 @@
 import zlib
 
-from lexweave.operators import citations, lines, statute
+from lexweave.operators import candidates, citations, classify, lines, marks, regions, statute
 from lexweave.sources import files, pdf
 
 
@@ -54,3 +54,27 @@ def test_files_become_statutes(spark, tmp_path):
     provisions = statute.provisions(statute.parse(stream))
     found = citations.resolve(citations.extract_citations(provisions), provisions)
     assert {(r.target_eid, r.relation, r.resolved) for r in found.collect()} == {("sec_1", "subject_to", True), ("sec_2__subsec_1", "notwithstanding", True), ("rule_3__subrule_2", "reference", False)}
+
+
+def noted(number, body, notes, small=8):
+    lines_ = b"".join(b"/F1 12 Tf 1 0 0 1 72 %d Tm (%s) Tj " % (640 - 14 * i, t) for i, t in enumerate(body))
+    foot = b"".join(b"/F1 %d Tf 1 0 0 1 72 %d Tm (%s) Tj " % (small, 110 - 10 * i, t) for i, t in enumerate(notes))
+    return b"BT /F1 12 Tf 1 0 0 1 250 760 Tm (THE LEVY ACT) Tj /F1 12 Tf 1 0 0 1 72 670 Tm (GENERAL PART) Tj " + lines_ + foot + b"/F1 10 Tf 1 0 0 1 300 40 Tm (%d) Tj ET" % number
+
+
+def test_lines_of_a_file_become_paragraphs_and_notes(spark, tmp_path):
+    body = [b"The levy is due on every item that is", b"sold, and the rate is that of the table of", b"rates in force on the day of the sale."]
+    streams = [noted(k + 1, body, [b"%d See the Act of %d." % (k + 1, 1990 + k), b"It is in force."] if k != 2 else [b"and so the note goes on here."]) for k in range(4)]
+    (tmp_path / "a.pdf").write_bytes(build(streams, compress=True))
+    read = pdf.read_pdfs(files.accepted(files.read_binary(spark, str(tmp_path)))).cache()
+    found = classify.classify(pdf.lines(read), pdf.pages(read)).cache()
+    kinds = {(r.page_index, r.text): r.region_type for r in found.collect()}
+    assert {kinds[k, "THE LEVY ACT"] for k in range(4)} == {"header"} and {kinds[k, str(k + 1)] for k in range(4)} == {"footer"}
+    assert {kinds[k, "GENERAL PART"] for k in range(4)} == {"heading"} and {kinds[k, t.decode()] for k in range(4) for t in body} == {"body"}
+    assert {kinds[k, "It is in force."] for k in (0, 1, 3)} == {"footnote"} and kinds[2, "and so the note goes on here."] == "footnote"
+    told = [(r.region_type, r.text) for r in regions.paragraphs(found).orderBy("ordinal").collect()]
+    assert told[:2] == [("heading", "GENERAL PART"), ("body", " ".join(t.decode() for t in body))] and len(told) == 8
+    notes = {r.label: r.body for r in candidates.note_bodies(found, candidates.label_rows(found.where("region_type = 'footnote'"))).collect()}
+    assert notes["1"] == "1 See the Act of 1990. It is in force." and notes["2"].endswith("and so the note goes on here.")
+    assert {r.page_index for r in marks.note_modes(found).collect()} == {0, 1, 2, 3}
+    assert classify.classify(pdf.lines(read).limit(0), pdf.pages(read)).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexweave.storage import discard, shared_dir, stored  # noqa: F401
 
 #: Bytes of text that one vectorised step works on at a time.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,6 +35,8 @@ UNKNOWN = "und"
 COLUMNS = 8192
 #: Texts whose vectors are held at a time.
 ROWS = 1000
+#: Cells that are counted in a dense array; more are sorted.
+DENSE = 1 << 22
 #: Quantiles of the cosines of training texts with their own and with the other languages.
 LOW, HIGH = 0.005, 0.99
 #: Training texts are also measured by so many first characters.
@@ -99,7 +101,7 @@ def gram_counts(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray
     for place in range(1, n - 1):
         valid &= compact[place : place + last] != space
     key, text = key[valid], text[:last][valid]
-    if size**n <= 1 << 25:
+    if size**n <= DENSE:
         seen = np.bincount(key, minlength=size**n) > 0
         distinct = np.flatnonzero(seen)
         place_of = np.cumsum(seen) - 1
@@ -107,7 +109,7 @@ def gram_counts(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray
     else:
         distinct, gram = np.unique(key, return_inverse=True)
     pair = text * max(1, len(distinct)) + gram
-    if len(texts) * len(distinct) <= 1 << 24:
+    if len(texts) * len(distinct) <= DENSE:
         counts = np.bincount(pair, minlength=1)
         pair = np.flatnonzero(counts)
         counts = counts[pair]

@@ -23,6 +23,17 @@ from lexweave.shipping import ship
 LANGUAGE_DIMENSIONS = 1024
 
 
+#: Rows of an Arrow batch. Rows hold whole documents, so that the default of 10 000 would take long buffers in the
+#: JVM and in Python for each core.
+BATCH_ROWS = 2000
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors and keeps Arrow batches short in this session."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """The whole row as one column, so that no column name can clash with a stage's own."""
     return docs.select(F.struct("*").alias("row"))
@@ -30,7 +41,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores at least 0.7 stay."""
-    ship(spark)
+    _prepare(spark)
     labels = table(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
     chain = quality.fit(docs, labels)
     return quality.score(_packed(docs), chain, text="row.text", keep=("row",)).where(F.col("score") >= quality.THRESHOLD).select("row.*")
@@ -38,7 +49,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
-    ship(spark)
+    _prepare(spark)
     training = docs.where(F.coalesce(id_fold("doc_id", 5) != 0, F.lit(True)))
     languages, profile = langid.prototypes(training, dimensions=LANGUAGE_DIMENSIONS)
     bound = langid.bounds(training, languages, profile)
@@ -48,19 +59,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
-    ship(spark)
+    _prepare(spark)
     return neardup.keep_one(docs, threshold=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship(spark)
+    _prepare(spark)
     return mixing.mixed_rows(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with digests of the ids and of the decoded text."""
-    ship(spark)
+    _prepare(spark)
     return pieces.encode(docs, pieces.piece_model(), outputs=("ids", "n_tokens", "n_source_bytes", "ids_sha256", "decoded_sha256"))
 
 

@@ -2,8 +2,8 @@
 
 Vectors become integers floor(1024 * x), so that scores are exact. Candidates are dealt into shards of bounded
 size; a task reads a shard's rows, builds its ball tree once, and then reads the queries, block by block. A node
-with centre c and radius r cannot hold a score above q.c + |q| r; a query walks to the child with the higher
-bound first and skips nodes whose bound is below the kth score that it holds. Shards are searched in rounds, the
+with centre c and radius r cannot hold a score above q.c + |q| r; a query walks down to a leaf by the child with the
+higher bound first, and then through the tree, skipping nodes whose bound is below the kth score that it holds. Shards are searched in rounds, the
 first alone and each later round GROWTH times as many as there were before it; the kth scores found so far start
 the search of the next round.
 
@@ -55,6 +55,7 @@ class BallTree:
         self.centres, self.radii, self.ranges, self.children = [], [], [], []
         self._build(0, len(vectors), leaf)
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
+        self.left, self.right = np.array([c or (-1, -1) for c in self.children], np.int64).reshape(-1, 2).T
 
     def _build(self, begin: int, end: int, leaf: int) -> int:
         node = len(self.centres)
@@ -82,38 +83,57 @@ class Search:
         self.tree, self.ids, self.queries, self.own, self.k = tree, ids, queries, own, k
         self.scores = np.full((len(queries), k), LEAST, np.int64)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
-        self.floor = floor.astype(np.float64)
+        self.least, self.floor = floor, floor.astype(np.float64)
         norms = np.sqrt((queries**2).sum(1))
         self.bounds = queries @ tree.centres.T + norms[:, None] * tree.radii[None, :]
         self.bounds += 1e-9 * np.abs(self.bounds) + 1e-9 * norms[:, None] * (np.sqrt((tree.centres**2).sum(1)) + tree.radii)[None, :] + 1e-6
         self.visited = 0
+        self.first = np.zeros(len(queries), np.int64)
         if len(ids):
+            self._descend()
             self._visit(0, np.arange(len(queries)))
 
     def _kth(self, active: np.ndarray) -> np.ndarray:
         return np.maximum(self.floor[active], self.scores[active, -1].astype(np.float64))
 
+    def _descend(self) -> None:
+        """Every query looks into the leaf that it reaches by the child with the higher bound, so that it holds k scores early."""
+        every = np.arange(len(self.queries))
+        while True:
+            inner = self.tree.left[self.first] >= 0
+            if not inner.any():
+                break
+            at, q = self.first[inner], every[inner]
+            left, right = self.tree.left[at], self.tree.right[at]
+            self.first[inner] = np.where(self.bounds[q, left] >= self.bounds[q, right], left, right)
+        for leaf in np.unique(self.first):
+            self._leaf(leaf, every[self.first == leaf])
+
     def _visit(self, node: int, active: np.ndarray) -> None:
+        """The rest of the tree, all queries of a block that a node cannot be skipped for at a time."""
         active = active[self.bounds[active, node] >= self._kth(active)]
         if not len(active):
             return
-        if self.tree.children[node] is None:
-            self._leaf(node, active)
+        left, right = self.tree.left[node], self.tree.right[node]
+        if left < 0:
+            self._leaf(node, active[self.first[active] != node])
             return
-        left, right = self.tree.children[node]
-        first = self.bounds[active, left] >= self.bounds[active, right]
-        for part, (near, far) in ((active[first], (left, right)), (active[~first], (right, left))):
-            if len(part):
-                self._visit(near, part)
-                self._visit(far, part)
+        near = self.bounds[active, left].sum() >= self.bounds[active, right].sum()
+        for child in (left, right) if near else (right, left):
+            self._visit(child, active)
 
     def _leaf(self, node: int, active: np.ndarray) -> None:
+        if not len(active):
+            return
         begin, end = self.tree.ranges[node]
         rows = self.tree.order[begin:end]
         self.visited += len(rows) * len(active)
         new = exact_products(self.queries[active], self.tree.vectors[rows])
         ids = np.broadcast_to(self.ids[rows], new.shape)
         new = np.where(ids == self.own[active][:, None], LEAST, new)
+        # Most leaves have nothing for most queries once these hold k rows.
+        hit = (new >= np.maximum(self.least[active], self.scores[active, -1])[:, None]).any(1)
+        active, new, ids = active[hit], new[hit], ids[hit]
         scores = np.concatenate([self.scores[active], new], axis=1)
         ids = np.concatenate([self.found[active], np.where(new == LEAST, np.iinfo(np.int64).max, ids)], axis=1)
         best = np.lexsort((ids, ~scores), axis=1)[:, : self.k]  # ~ turns the order round without overflow

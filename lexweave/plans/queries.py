@@ -150,8 +150,8 @@ def statute_diagnostics(spark, sf_dir):
 
 @register("statute_json")
 def statute_json(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "provisions", cite=False)
-    return X.statute_json(statute.metadata(parsed), X.nested(statute.provisions(parsed)))
+    """Each document's tree on its own row: the lines are sorted and parsed once, and nothing is joined."""
+    return X.document_json(_parsed(spark, sf_dir, "provisions", cite=False))
 
 
 @register("section_openers", STATUTES.over("SELECT doc_id, seq, regexp_extract(text, '^([0-9]{1,3}[A-Za-z]*)\\.', 1) AS num FROM t"))

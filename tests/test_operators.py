@@ -157,6 +157,35 @@ def test_export_nests_the_tree(spark):
     assert sub["children"][0]["children"][0]["eid"] == "sec_1__subsec_1__cl_a__subcl_i"
 
 
+def test_json_of_many_documents_is_one_parse_without_joins(spark):
+    from lexweave.plans import catalog, synthetic
+
+    plan = catalog.queries()["statute_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    parsed = statute.parse(synthetic.act_lines(spark, "/root/testdata/sf0.001").where("doc_id <= 60"))
+
+    def tree(rows, holder=None):
+        return [{f: r[f] for f in export.NODE_FIELDS} | {"children": tree(rows, r.seq)} for r in rows if r.holder == holder]
+
+    whole = {r.doc_id: r.json for r in export.document_json(parsed).collect()}
+    assert whole == {r.doc_id: r.json for r in export.statute_json(statute.metadata(parsed), export.nested(statute.provisions(parsed))).collect()}
+    for r in parsed.collect():
+        assert json.loads(whole[r.doc_id])["akomaNtoso"]["act"]["body"] == tree(r.provisions)
+
+
+def test_json_keeps_levels_of_any_depth_and_documents_without_provisions(spark):
+    deep = [(None if d % 8 == 0 else d - 1, d, d % 8, f'e"{d}\n', "section", None, None, "x", None, [1]) for d in range(16)]
+    fields = "holder int, seq int, depth int, eid string, kind string, num string, heading string, text string, parent_eid string, page_numbers array<int>"
+    docs = spark.createDataFrame([(1, deep), (2, []), (None, deep[:1])], f"doc_id long, provisions array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+    found = {r.doc_id: json.loads(r.json)["akomaNtoso"]["act"]["body"] for r in export.document_json(docs).collect()}
+    assert found[2] == [] and [n["eid"] for n in found[None]] == ['e"0\n']
+    for k, node in enumerate(found[1]):
+        for d in range(8 * k, 8 * k + 8):
+            assert node["eid"] == f'e"{d}\n' and len(node["children"]) == (d % 8 < 7)
+            node = (node["children"] or [None])[0]
+    assert {r.doc_id: json.loads(r.body) for r in export.nested(statute.provisions(docs)).collect()}[1] == found[1]
+
+
 def test_text_units_count_utf16(spark):
     p = spark.createDataFrame([(1, 1, 0, "a🙂b⟦FN:x⟧ c")], "doc_id int, ordinal int, page_index int, text string")
     n = spark.createDataFrame([(1, 1, "note", [2, 1, 2])], "doc_id int, number int, text string, pages array<int>")

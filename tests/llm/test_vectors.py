@@ -114,6 +114,26 @@ def test_a_hub_and_long_chains_settle(spark):
     assert sorted((r.component, r["count"]) for r in got) == [(0, 5001), (10_000, 2001)]
 
 
+def test_few_edges_take_few_jobs_and_rounds_agree(spark):
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 900, (600, 2))], "a long, b long").repartition(7)
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    at_once = {r.node: r.component for r in connected_components(edges).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("few edges"))
+    context.setJobGroup("rounds", "")
+    assert at_once == {r.node: r.component for r in connected_components(edges, held=0).collect()}
+    assert 0 < jobs <= 10 < len(context.statusTracker().getJobIdsForGroup("rounds"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_settle_a_hub_and_a_chain(spark):
+    hub = spark.range(1, 2001).selectExpr("id as a", "0L as b")
+    chain = spark.range(10_000, 10_500).selectExpr("id as a", "id + 1 as b").repartition(7)
+    got = connected_components(hub.unionByName(chain), held=0).groupBy("component").count().collect()
+    assert sorted((r.component, r["count"]) for r in got) == [(0, 2001), (10_000, 501)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 40)] + [(7, 7), (None, 3), (500, 400)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
